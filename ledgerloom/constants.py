@@ -45,8 +45,8 @@ ISOLATION_TREES = 300
 ISOLATION_SAMPLE = 256
 CONTAMINATION = 0.08
 TOP_FACTORS = 5
-RISK_BANDS = [(0.80, "critical"), (0.50, "high"), (0.25, "medium")]
-LOWEST_BAND = "low"
+RISK_BANDS = [(0.80, "Critical"), (0.50, "High"), (0.25, "Elevated")]
+LOWEST_BAND = "Low"
 
 # Features by group, in order
 FEATURE_GROUPS = {

@@ -21,13 +21,13 @@ def leads(observations: DataFrame, of_tx: DataFrame, min_transactions: int = K.M
     seen = materialize(observations.where("src_ip is not null and arrival_rank is not null").select("txid", "src_ip", "arrival_rank", "asn", "country"), "sightings")
     # a host's own rows are combined before the shuffle, so a busy host is no burden
     hosts = seen.groupBy("src_ip").agg(F.count_if(F.col("arrival_rank") == 1).alias("firsts"), F.min_by(F.struct("asn", "country"), F.struct("txid", "arrival_rank", F.coalesce("asn", F.lit(-1)), F.coalesce("country", F.lit("")))).alias("meta"))
-    total = seen.where("arrival_rank = 1").agg(F.count("*").alias("all_firsts"))
+    all_firsts = seen.where("arrival_rank = 1").count()
     met = materialize(seen.join(of_tx, "txid").select("entity_id", "txid", "src_ip", "arrival_rank"), "met")
     sizes = met.select("entity_id", "txid").distinct().groupBy("entity_id").agg(F.count("*").alias("transactions"))
     pairs = met.groupBy("entity_id", "src_ip").agg(F.sum(F.lit(1.0) / F.col("arrival_rank")).alias("rank_weight"), F.count_if(F.col("arrival_rank") == 1).alias("hits"), F.min(F.struct("txid", "arrival_rank")).alias("first_at"))
-    tested = pairs.where("hits > 0").join(sizes.where(F.col("transactions") >= min_transactions), "entity_id").join(hosts.where("firsts > 0"), "src_ip").join(F.broadcast(total))
+    tested = pairs.where("hits > 0").join(sizes.where(F.col("transactions") >= min_transactions), "entity_id").join(hosts.where("firsts > 0"), "src_ip")
     p = binomial_tail(F.col("hits"), F.col("transactions"), F.col("baseline"))
-    priced = materialize(tested.withColumn("baseline", F.col("firsts") / F.col("all_firsts")).withColumn("p_value", p), "tested")
+    priced = materialize(tested.withColumn("baseline", F.col("firsts") / F.lit(all_firsts)).withColumn("p_value", p), "tested")
     n = priced.count()
     adjusted = F.least(F.lit(1.0), F.col("p_value") * F.lit(float(n)))
     out = priced.withColumn("adjusted_p", adjusted).withColumn("confidence", 1.0 - F.col("adjusted_p"))

@@ -43,7 +43,7 @@ def build(tx: DataFrame, l2: DataFrame, owners: DataFrame) -> tuple[DataFrame, D
     hosts = hosts.select("src_ip", F.col("b.n").alias("n"), F.concat(F.lit("AS"), F.coalesce(F.col("b.asn").cast("string"), F.lit(""))).alias("network"), F.col("b.geo_country").alias("country"))
     entity_nodes = owners.groupBy("entity_id").agg(F.count("*").alias("weight")).select(F.col("entity_id").alias("id"), F.lit("ENTITY").alias("label"), F.col("entity_id").alias("name"), "weight", F.lit(0).alias("rank"))
     host_nodes = hosts.select(F.col("src_ip").alias("id"), F.lit("IP").alias("label"), F.col("src_ip").alias("name"), F.col("n").alias("weight"), F.lit(1).alias("rank"))
-    networks = hosts.groupBy("network").agg(F.min_by("country", "src_ip").alias("country"))
+    networks = hosts.groupBy("network").agg(F.min_by("country", F.when(F.col("country").isNotNull(), F.col("src_ip"))).alias("country"))
     network_nodes = networks.select(F.col("network").alias("id"), F.lit("ASN").alias("label"), F.concat("network", F.lit(" ("), F.coalesce("country", F.lit("")), F.lit(")")).alias("name"), F.lit(0).cast("bigint").alias("weight"), F.lit(2).alias("rank"))
     every = entity_nodes.unionByName(host_nodes).unionByName(network_nodes)
     nodes = every.groupBy("id").agg(F.min_by(F.struct("label", "name", "weight"), "rank").alias("x")).select("id", "x.*")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +27,20 @@ def get_session(app: str = "ledgerloom", master: str | None = None, partitions:
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, unless PYTHONPATH already names its place."""
+    root, app = Path(__file__).resolve().parent.parent, spark.sparkContext.applicationId
+    if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _shipped.add(app)
+    folder = Path(tempfile.mkdtemp(prefix="ledgerloom-ship-"))
+    atexit.register(shutil.rmtree, folder, True)
+    archive = folder / "ledgerloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted((root / "ledgerloom").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
