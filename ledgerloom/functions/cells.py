@@ -5,6 +5,8 @@ Everything stays in the JVM.  No expression backtracks or recurses over a cell,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,38 +20,48 @@ def trimmed(c: Column) -> Column:
     return F.trim(c)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also where a lambda within uses it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def quoting_ok(line: Column) -> Column:
     """Whether each quoted cell of a comma-separated record is closed and followed by a comma or the end.
 
     Split at the quotes, every second part lies outside of quotes: such a part must be empty (a doubled quote)
     or begin and end with a comma; the first may be empty or end with one, the last be empty or begin with one.
     """
-    parts = F.split(line, '"', -1)
-    n = F.size(parts)
 
-    def part_ok(x: Column, i: Column) -> Column:
-        inside = F.pmod(i, F.lit(2)) == 1
-        begins = (i == 0) | F.startswith(x, F.lit(","))
-        ends = (i == n - 1) | F.endswith(x, F.lit(","))
-        return inside | (x == "") | (begins & ends)
+    def all_ok(parts: Column) -> Column:
+        n = F.size(parts)
 
-    return F.when(~F.contains(line, F.lit('"')), True).otherwise((F.pmod(n, F.lit(2)) == 1) & F.forall(F.transform(parts, part_ok), lambda x: x))
+        def part_ok(x: Column, i: Column) -> Column:
+            inside = F.pmod(i, F.lit(2)) == 1
+            begins = (i == 0) | F.startswith(x, F.lit(","))
+            ends = (i == n - 1) | F.endswith(x, F.lit(","))
+            return inside | (x == "") | (begins & ends)
+
+        return (F.pmod(n, F.lit(2)) == 1) & F.forall(F.transform(parts, part_ok), lambda x: x)
+
+    return F.when(~F.contains(line, F.lit('"')), True).otherwise(_let(F.split(line, '"', -1), all_ok))
 
 
 def cells(line: Column) -> Column:
     """The cells of a record whose quoting is right, unquoted; doubled quotes are read as one."""
     # outside of quotes a comma becomes a mark followed by "s"; a mark of the text itself becomes one followed by "e"
     safe = F.replace(line, F.lit(_MARK), F.lit(_MARK + "e"))
-    parts = F.split(safe, '"', -1)
-    n = F.size(parts)
 
-    def part(x: Column, i: Column) -> Column:
-        outside = F.pmod(i, F.lit(2)) == 0
-        doubled = outside & (x == "") & (i > 0) & (i < n - 1)
-        return F.when(doubled, F.lit('"')).when(outside, F.replace(x, F.lit(","), F.lit(_MARK + "s"))).otherwise(x)
+    def joined(parts: Column) -> Column:
+        n = F.size(parts)
+
+        def part(x: Column, i: Column) -> Column:
+            outside = F.pmod(i, F.lit(2)) == 0
+            doubled = outside & (x == "") & (i > 0) & (i < n - 1)
+            return F.when(doubled, F.lit('"')).when(outside, F.replace(x, F.lit(","), F.lit(_MARK + "s"))).otherwise(x)
 
-    joined = F.array_join(F.transform(parts, part), "")
-    quoted = F.transform(F.split(joined, _MARK + "s", -1), lambda x: F.replace(x, F.lit(_MARK + "e"), F.lit(_MARK)))
+        return F.array_join(F.transform(parts, part), "")
+
+    quoted = F.transform(F.split(_let(F.split(safe, '"', -1), joined), _MARK + "s", -1), lambda x: F.replace(x, F.lit(_MARK + "e"), F.lit(_MARK)))
     return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",", -1))
 
 
@@ -134,3 +146,21 @@ def micros(text: Column, apply_offset: bool = True) -> Column:
         offset = p["off_h"] * 3600 + p["off_m"] * 60
         seconds = seconds - F.when(p["sign"] == "-", -offset).otherwise(offset)
     return F.when(ok, seconds * 1_000_000 + F.rpad(F.substring(p["fraction"], 1, 6), 6, "0").try_cast("bigint"))
+
+
+_EVIDENCE_TIME = r"\A([0-9]{1,6})-([0-9]{1,2})-([0-9]{1,2})T([0-9]{1,4}):([0-9]{1,4})(?::([0-9]{1,4}))?(?:\.(?:([0-9]{6})[^+\-]*|([0-9]{1,5})))?(?:[+\-].*)?\z"
+
+
+def evidence_micros(text: Column) -> Column:
+    """Microseconds of an evidence timestamp as it is customarily read: an offset is cut off, not applied; the fraction
+    is cut at six digits; days run to 31 in any month and roll over; missing seconds are 0.  Null if malformed."""
+    t = F.regexp_replace(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")), r"Z+\z", "")
+    ok = t.rlike(_EVIDENCE_TIME)
+    part = lambda i: F.when(ok, F.regexp_extract(t, _EVIDENCE_TIME, i))
+    number = lambda i: part(i).try_cast("bigint")
+    month, day = number(2), number(3)
+    first = F.when(ok & month.between(1, 12) & day.between(1, 31), F.make_date(number(1).cast("int"), month.cast("int"), F.lit(1)))
+    days = F.unix_date(first).cast("bigint") + day - 1
+    seconds = days * 86400 + number(4) * 3600 + number(5) * 60 + F.coalesce(number(6), F.lit(0))
+    fraction = F.rpad(F.concat(F.coalesce(part(7), F.lit("")), F.coalesce(part(8), F.lit(""))), 6, "0").try_cast("bigint")
+    return seconds * 1_000_000 + F.coalesce(fraction, F.lit(0))
