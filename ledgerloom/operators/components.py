@@ -3,7 +3,7 @@
 Vertices are hashed into p blocks, an edge goes to the cell (block of one end, block of the other), and each cell
 runs a local union-find over its edges.  A vertex then takes the least representative that its row and column
 cells found, the representatives themselves are the vertices of the next, smaller round, and rounds go on until no
-edge is left.  A hub's edges are spread over a whole row of cells.  Labels are resolved backwards through the
+edge is left; where a round did little, parents jump to their parents, so a path of n takes about log n rounds.  A hub's edges are spread over a whole row of cells.  Labels are resolved backwards through the
 written parent tables.
 """
 
@@ -75,7 +75,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
     n_slots = slots(spark)
     now = edges.where("u is not null and v is not null and u <> v").select(F.col("u").cast("bigint"), F.col("v").cast("bigint"))
     parents: list[tuple[DataFrame, int]] = []
-    left = now.count()
+    left, before = now.count(), 0
     while left:
         p = max(int(np.ceil(np.sqrt(left / CELL))), int(np.sqrt(min(n_slots, left // 20_000 + 1))))
         cell = F.pmod(F.xxhash64("u"), F.lit(p)) * p + F.pmod(F.xxhash64("v"), F.lit(p))
@@ -83,11 +83,15 @@ def component_labels(edges: DataFrame) -> DataFrame:
         met = materialize(found.groupBy("v").agg(F.min("root").alias("parent"), F.collect_set("root").alias("roots")), "met")
         roots = met.select(F.explode("roots").alias("v")).distinct()
         n_parents = met.count()
+        if left * 2 > before > 0:
+            # the last round did little (long paths): jump to the parent's parent, which halves the way to go
+            grand = met.select(F.col("v").alias("parent"), F.col("parent").alias("grand"))
+            met = materialize(lookup(met, "parent", grand, n_parents, "grand").withColumn("parent", F.coalesce("grand", "parent")).drop("grand"), "jumped")
         parents.append((met.select("v", "parent"), n_parents))
         others = met.where(F.size("roots") > 1).select(F.explode("roots").alias("u"), F.col("parent").alias("v")).where("u <> v")
         alive = met.join(roots, "v", "left_semi").select(F.col("v").alias("u"), F.col("parent").alias("v"))
         now = materialize(others.union(alive).distinct(), "edges")
-        left = now.count()
+        left, before = now.count(), left
     if not parents:
         return spark.createDataFrame([], "v bigint, label bigint")
     # a vertex that lives on into the next round is labelled there; one that does not has its parent alive there

@@ -35,9 +35,9 @@ def test_local_union_find():
 @pytest.mark.parametrize("piece", [C.PIECE, 50])
 def test_labels_of_chains_and_hubs(spark, monkeypatch, piece):
     monkeypatch.setattr(C, "PIECE", piece)
-    monkeypatch.setattr(C, "CELL", 200)
+    monkeypatch.setattr(C, "CELL", 400)
     rng = random.Random(3)
-    edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1700)] + [(rng.randrange(2000, 4000), rng.randrange(2000, 4000)) for _ in range(900)]
+    edges = [(i, i + 1) for i in range(80)] + [(1000, i) for i in range(1001, 1700)] + [(rng.randrange(2000, 4000), rng.randrange(2000, 4000)) for _ in range(900)]
     rng.shuffle(edges)
     edges += edges[:20] + [(5, 5), (None, 3), (7, None)]
     got = dict(rows(C.component_labels(spark.createDataFrame(edges, "u bigint, v bigint"))))
@@ -45,6 +45,15 @@ def test_labels_of_chains_and_hubs(spark, monkeypatch, piece):
     assert got == expected
 
 
+def test_a_path_whose_edges_all_lie_apart(spark, monkeypatch):
+    monkeypatch.setattr(C, "CELL", 1)
+    rounds, write = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, label: rounds.append(label) or write(df, label))
+    got = dict(rows(C.component_labels(spark.createDataFrame([(i, i + 1) for i in range(60)], "u bigint, v bigint"))))
+    assert got == {i: 0 for i in range(1, 61)}
+    assert rounds.count("met") <= 12
+
+
 def test_no_edges(spark):
     assert rows(C.component_labels(spark.createDataFrame([], "u bigint, v bigint"))) == []
 
