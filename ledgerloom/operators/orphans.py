@@ -95,7 +95,7 @@ def _decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def suspects(refs: DataFrame, held: DataFrame) -> DataFrame:
-    """(parent, ref_key, period) of the references that no parent row valid throughout the period meets."""
+    """(id, parent, ref_key, period) of the references that no parent row valid throughout the period meets."""
     asked = materialize(refs.where("at is not null").select("parent", "ref_key", _period("at").alias("period")).distinct(), "asked")
     keys = asked.select("parent", "ref_key").distinct().select(F.concat_ws("\x1f", "parent", "ref_key").alias("name"))
     dictionary, n = dense_dictionary(keys, "name")
@@ -114,7 +114,7 @@ def suspects(refs: DataFrame, held: DataFrame) -> DataFrame:
     maps = bits.repartition(parts, "range").groupBy("range").applyInPandas(_and_not, "range bigint, period bigint, bitmap binary")
     left = maps.mapInPandas(_decode, "id bigint, period bigint").join(dictionary, "id")
     split = F.split("name", "\x1f", 2)
-    return left.select(F.get(split, F.lit(0)).alias("parent"), F.get(split, F.lit(1)).alias("ref_key"), "period")
+    return left.select("id", F.get(split, F.lit(0)).alias("parent"), F.get(split, F.lit(1)).alias("ref_key"), "period")
 
 
 def orphans(graph_edges: DataFrame, leads: DataFrame, scores: DataFrame, graph_nodes: DataFrame, entities: DataFrame) -> DataFrame:
@@ -131,26 +131,26 @@ def orphans(graph_edges: DataFrame, leads: DataFrame, scores: DataFrame, graph_n
     held = materialize(parents(graph_nodes, entities), "parents")
     open_ = materialize(suspects(refs, held), "suspects")
     # references of the surviving keys and periods; these and their parents' events in the period are swept in time
-    doubt = refs.withColumn("period", _period("at")).join(open_, ["parent", "ref_key", "period"], "left_semi").distinct()
-    keys = open_.select("parent", "ref_key").distinct()
-    of_keys = held.join(keys, ["parent", "ref_key"], "left_semi")
-    loads = of_keys.groupBy("parent", "ref_key", _period("since").alias("period")).agg(F.max("until").alias("until"))
-    # what earlier periods bring into a period: the latest end of all parents loaded before it
-    marks = loads.unionByName(open_.select("parent", "ref_key", "period", F.lit(None).cast("bigint").alias("until"))).groupBy("parent", "ref_key", "period").agg(F.max("until").alias("until"))
-    before = Window.partitionBy("parent", "ref_key").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("parent", "ref_key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    carried = marks.select("parent", "ref_key", "period", F.max("until").over(before).alias("carried"), F.max("until").over(whole).isNotNull().alias("has_parent"))
-    carried = carried.join(open_, ["parent", "ref_key", "period"], "left_semi")
     nil = lambda kind: F.lit(None).cast(kind)
-    within = of_keys.select("parent", "ref_key", _period("since").alias("period"), F.col("since").alias("at"), F.lit(0).alias("turn"), "until", *(nil("string").alias(c) for c in ("table_name", "field_name", "row_key")), nil("boolean").alias("has_parent"))
-    start = carried.select("parent", "ref_key", "period", F.lit(-_NEVER).alias("at"), F.lit(0).alias("turn"), F.col("carried").alias("until"), *(nil("string").alias(c) for c in ("table_name", "field_name", "row_key")), "has_parent")
-    asked = doubt.select("parent", "ref_key", "period", "at", F.lit(1).alias("turn"), nil("bigint").alias("until"), "table_name", "field_name", "row_key", nil("boolean").alias("has_parent"))
-    events = within.join(open_, ["parent", "ref_key", "period"], "left_semi").unionByName(start).unionByName(asked)
-    sweep = Window.partitionBy("parent", "ref_key", "period").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
+    names = ("table_name", "field_name", "row_key", "ref_key")
+    asked = refs.withColumn("period", _period("at")).join(open_, ["parent", "ref_key", "period"])
+    asked = asked.select("id", "period", "at", F.lit(1).alias("turn"), nil("bigint").alias("until"), *names, nil("boolean").alias("has_parent"))
+    keys = open_.select("id", "parent", "ref_key").distinct()
+    of_keys = materialize(held.join(keys, ["parent", "ref_key"]).select("id", _period("since").alias("period"), F.col("since").alias("at"), "until"), "held")
+    # what earlier periods bring into a period: the latest end of all parents loaded before it
+    marks = of_keys.select("id", "period", "until", F.lit(False).alias("open")).unionByName(open_.select("id", "period", nil("bigint").alias("until"), F.lit(True).alias("open")))
+    marks = marks.groupBy("id", "period").agg(F.max("until").alias("until"), F.max("open").alias("open"))
+    before = Window.partitionBy("id").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = marks.select("id", "period", "open", F.max("until").over(before).alias("until"), F.max("until").over(whole).isNotNull().alias("has_parent")).where("open")
+    start = carried.select("id", "period", F.lit(-_NEVER).alias("at"), F.lit(0).alias("turn"), "until", *(nil("string").alias(c) for c in names), "has_parent")
+    within = of_keys.join(open_.select("id", "period"), ["id", "period"], "left_semi").select("id", "period", "at", F.lit(0).alias("turn"), "until", *(nil("string").alias(c) for c in names), nil("boolean").alias("has_parent"))
+    events = within.unionByName(start).unionByName(asked)
+    sweep = Window.partitionBy("id", "period").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)
     swept = events.withColumn("latest", F.max("until").over(sweep)).withColumn("known", F.max("has_parent").over(sweep)).where("turn = 1")
     absence = F.when(~F.col("known"), "missing").when(F.col("latest").isNull(), "late").otherwise("deleted")
     unmet = swept.where("latest is null or latest <= at")
-    timed = unmet.select("table_name", "field_name", "row_key", "ref_key", F.date_format(F.timestamp_micros("at"), "yyyy-MM").alias("load_month"), absence.alias("absence"))
+    timed = unmet.select(*names, F.date_format(F.timestamp_micros("at"), "yyyy-MM").alias("load_month"), absence.alias("absence"))
     untimed = refs.where("at is null").join(held, ["parent", "ref_key"], "left_anti")
     untimed = untimed.select("table_name", "field_name", "row_key", "ref_key", nil("string").alias("load_month"), F.lit("missing").alias("absence"))
     return timed.unionByName(untimed).distinct()
