@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.stats import binomial_tail
 from ..shared import materialize
+from ..skew import dealt
 
 
 def leads(observations: DataFrame, of_tx: DataFrame, min_transactions: int = K.MIN_TRANSACTIONS) -> DataFrame:
@@ -60,11 +61,4 @@ def geo_concentration(observations: DataFrame, of_tx: DataFrame) -> DataFrame:
 
 def shuffled_owners(of_tx: DataFrame, seed: int) -> DataFrame:
     """The negative control: the same transactions and the same entities, tied at random (a function of the seed)."""
-    n = "_n"
-    # equal numbering of both sides within buckets of the ids; the hash takes the place of a global sort
-    lanes = 256
-    key = lambda c, s: F.xxhash64(c, F.lit(s))
-    base = of_tx.select("txid", "entity_id").withColumn("lane", F.pmod(key("txid", seed), F.lit(lanes)))
-    left = base.withColumn(n, F.row_number().over(Window.partitionBy("lane").orderBy(key("txid", seed + 1), "txid")))
-    right = base.withColumn(n, F.row_number().over(Window.partitionBy("lane").orderBy(F.xxhash64("txid", "entity_id", F.lit(seed + 2)), "txid")))
-    return left.select("txid", "lane", n).join(right.select("entity_id", "lane", n), ["lane", n]).select("txid", "entity_id")
+    return dealt(of_tx, "txid", "entity_id", seed)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..shared import materialize, shared_dir
+from ..skew import dealt
 from . import evaluation
 from .features import group_of
 
@@ -86,11 +87,7 @@ def ablation(rows: DataFrame, trees: int = K.FOREST_TREES, k: int = K.FOLDS) ->
 def shuffled_labels(rows: DataFrame, seed: int = K.SEED) -> DataFrame:
     """The negative control: labels dealt to other rows, as many of each as before."""
     known = rows.where("label is not null")
-    order = lambda s: Window.partitionBy("_lane").orderBy(F.xxhash64("entity_id", F.lit(s)), "entity_id")
-    laned = known.withColumn("_lane", F.pmod(F.xxhash64("entity_id", F.lit(seed)), F.lit(8)))
-    left = laned.withColumn("_n", F.row_number().over(order(seed + 1))).drop("label")
-    right = laned.select("_lane", "label", F.row_number().over(order(seed + 2)).alias("_n"))
-    return left.join(right, ["_lane", "_n"]).drop("_lane", "_n")
+    return known.drop("label").join(dealt(known, "entity_id", "label", seed), "entity_id")
 
 
 def seed_stability(rows: DataFrame, seeds: list[int], trees: int = K.FOREST_TREES, k: int = K.FOLDS) -> DataFrame:

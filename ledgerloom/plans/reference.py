@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..keys import clean_address, clean_id
-from ..operators import attribution, chains, change, cospend, entities, evaluation, features, feature_blocks, graph, mixing, observations
+from ..operators import attribution, chains, change, cospend, entities, evaluation, features, feature_blocks, forest, graph, mixing, observations
 from ..serve import Store, latest
 from ..shared import materialize
 from ..sources import geo
@@ -372,6 +372,53 @@ def pipeline_stats(s, d):
 def attributed_hosts(s, d):
     return _store(s, d).attributed()
 
+# models
+
+
+def _labelled(s, d):
+    """Features of every scored entity with the label of its scores; an entity without a label is scored, not learnt from."""
+    labels = latest(table(s, d, "scores"), "entity_id").select("entity_id", "label")
+    return materialize(_features(s, d).join(labels, "entity_id", "left"), "labelled")
+
+
+def forest_scores(s, d):
+    rows = _labelled(s, d)
+    return forest.predict(forest.fit(rows), rows).select("entity_id", "risk_score", "label")
+
+
+def forest_importances(s, d):
+    return s.createDataFrame(forest.importances(forest.fit(_labelled(s, d))), "feature string, `group` string, importance double")
+
+
+def forest_metrics(s, d):
+    return forest.metrics(_labelled(s, d), trees=60, k=3)
+
+
+def forest_ablation(s, d):
+    return forest.ablation(_labelled(s, d), trees=20, k=2)
+
+
+def forest_null(s, d):
+    """Metrics with the labels dealt to other entities."""
+    return forest.metrics(forest.shuffled_labels(_labelled(s, d)), trees=60, k=3)
+
+
+def forest_stability(s, d):
+    return forest.seed_stability(_labelled(s, d), [1, 2, 3], trees=20, k=2)
+
+
+def isolation_scores(s, d):
+    return forest.isolation_scores(_features(s, d))
+
+
+def shap_factors(s, d):
+    rows = _labelled(s, d)
+    return forest.explain(forest.fit(rows), rows).select("entity_id", F.inline("factors"))
+
+
+def score_table(s, d):
+    return forest.score_table(_labelled(s, d))
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -382,5 +429,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         origin_leads, best_leads, geo_concentration, permutation_null, entity_features, majority_cluster, pairwise_scores, risk_metrics,
         alerts, alerts_filtered, risk_factors, entity_addresses, entity_transactions, entity_chains, entity_candidates, entity_observations, subgraph_nodes, subgraph_edges, subgraph_elements,
         summary_totals, geo_rollup, risk_bands, countries, networks_topk, hourly_activity, hourly_long, chain_list, longest_chain, chain_hops, coinjoins, pipeline_stats, attributed_hosts,
+        forest_scores, forest_importances, forest_metrics, forest_ablation, forest_null, forest_stability, isolation_scores, shap_factors, score_table,
     )
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
@@ -60,3 +60,24 @@ def lookup(left: DataFrame, on: str, right: DataFrame, right_rows: int, value: s
     other = right.select(F.col(on).cast("string").alias("_right_key"), F.col(value).alias("_right_value"))
     cols: list[Column] = [F.col(c) for c in left.columns]
     return salted.join(other, F.col("_salted") == F.col("_right_key"), "left").select(*cols, F.when(F.col("_is_hot"), F.col("_hot_value")).otherwise(F.col("_right_value")).alias(value))
+
+
+def dealt(rows: DataFrame, key: str, value: str, seed: int, lanes: int = 64) -> DataFrame:
+    """(key, value) with the values dealt to other keys at random, each as often as before; a function of the seed.
+
+    Both columns are numbered in orders of their own, by hashes and in ``lanes`` tasks, and meet on the number; only
+    the lanes' sizes reach the driver.  Keys must be unique and are not null.
+    """
+    rows = materialize(rows.select(key, value), "dealt")
+
+    def numbered(s: int) -> DataFrame:
+        laned = rows.withColumn("_lane", F.pmod(F.xxhash64(key, F.lit(s)), F.lit(lanes)).cast("int"))
+        offsets, total = [], 0
+        for r in sorted(laned.groupBy("_lane").agg(F.count("*").alias("n")).collect()):
+            offsets.append((r["_lane"], total))
+            total += r["n"]
+        table = rows.sparkSession.createDataFrame(offsets, "_lane int, _offset bigint")
+        place = F.row_number().over(Window.partitionBy("_lane").orderBy(F.xxhash64(key, F.lit(s + 1)), key))
+        return laned.withColumn("_place", place).join(F.broadcast(table), "_lane").withColumn("_at", F.col("_offset") + F.col("_place"))
+
+    return numbered(seed).select(key, "_at").join(numbered(seed + 100).select(value, "_at"), "_at").select(key, value)
