@@ -214,11 +214,11 @@ def shared_stretches(documents: DataFrame, least: int = LEAST) -> tuple[DataFram
 
     First (doc_a, doc_b, start_a, start_b, length), doc_a < doc_b: together these cover every common stretch of a
     pair exactly, in overlapping parts.  Second (doc_id, first): documents whose whole text repeats another's; only the
-    least doc_id of equal texts is in the first table.  Null, empty and shorter texts share nothing; doc_id must be
-    unique; texts of any length are read whole.
+    least doc_id of equal texts is in the first table.  Null, empty and shorter texts share nothing, nor do rows
+    without a doc_id; a repeated row shares nothing with itself; texts of any length are read whole.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     copies = representatives(docs, least)
     once = _without(docs.where(F.length("text") >= least), copies.where("doc_id <> first").select("doc_id"))
     units = materialize(once.mapInArrow(_units(least), "doc_id bigint, at int, digest bigint"), "units")
@@ -320,7 +320,7 @@ def repeated_units(documents: DataFrame, unit: str = "line", least: int = 40) ->
     Units are compared without regard to case and white space; units with fewer than ``least`` characters, once
     white space is collapsed, are left alone.  The earliest occurrence (least doc_id, then least start) is kept and has no row.
     """
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     units = materialize(docs.mapInArrow(_normal_units(unit, least), "doc_id bigint, start bigint, length bigint, digest binary"), "lines")
     first = units.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")
     first = materialize(first.select(F.hex("digest").alias("digest"), "kept"), "kept")

@@ -37,6 +37,9 @@ SEND_WORDS = 200_000
 
 _BLOCK = "block bigint, kind int, payload binary"
 
+#: Stands for a null doc_id in packed arrays.
+_NO_DOC = np.iinfo(np.int64).min
+
 
 class Vocabulary:
     """The ranks of a vocabulary file, the words that are themselves tokens, and the encoder of other words."""
@@ -121,7 +124,7 @@ def _cut(sent: Broadcast):
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"]):
                 text = text.as_py()
                 cut = find(text) if text else []
-                ids.append(doc)
+                ids.append(_NO_DOC if doc is None else doc)
                 counts.append(len(cut))
                 codes.append(np.fromiter(map(words.__getitem__, cut), np.int32, len(cut)))
                 chars += len(text or "")
@@ -211,14 +214,14 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat[begins[~other]] = codes[~other]
             flat[_spread(begins[other], word_size[word])] = ids[_spread(word_start[word], word_size[word])]
             offsets = np.r_[0, ends][np.r_[0, np.cumsum(counts, dtype=np.int64)]]
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == _NO_DOC), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["doc_id", "ids"])
 
 
 def encode(documents: DataFrame, folder: str | None = None, name: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids): each document's text as ids of the vocabulary, without special tokens.
 
     Strings of special tokens in a text are ordinary text.  A null and an empty text give an empty list.  Texts may be
-    of any length and are encoded whole; repeated rows give a row each; doc_id must not be null; no rows give none.
+    of any length and are encoded whole; repeated rows give a row each, a null doc_id stays null; no rows give none.
     """
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast(read_vocabulary(folder, name))

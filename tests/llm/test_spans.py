@@ -77,6 +77,13 @@ def test_empty_table(spark):
     assert rows(S.repeated_units(df)) == []
 
 
+def test_rows_without_an_id_and_repeated_rows(spark):
+    text = "".join(random.Random(1).choice("abc") for _ in range(250))
+    df = spark.createDataFrame([(None, text), (1, text), (1, text), (2, "x" + text), (None, None)], "doc_id bigint, text string")
+    assert set(rows(S.sharing_pairs(*S.shared_stretches(df)))) == {(1, 2)}
+    assert rows(S.coverage(df))[0] == (1, 250, 250)
+
+
 def test_repeated_lines(spark):
     a, b = "The quick brown fox jumps over the lazy dog again", "Another line that is long enough to be counted here"
     df = spark.createDataFrame([(2, f"{a}\n\nx\n{b}"), (1, f"start\r\n  {a.upper()}  \n"), (3, None), (4, f"{b}\n{b}")], "doc_id bigint, text string")
