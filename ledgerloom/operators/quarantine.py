@@ -58,6 +58,12 @@ def invalid_rows(raw: DataFrame, layout: DataFrame) -> DataFrame:
     return first.select(F.col("line_id").cast("bigint").alias("line_id"), F.get(names, F.col("rank")).alias("reason"))
 
 
+def _without(raw: DataFrame, invalid: DataFrame) -> DataFrame:
+    """The rows of ``raw`` that are not invalid; a null line_id is an id like any other."""
+    bad = invalid.select(F.col("line_id").alias("_bad"))
+    return raw.join(bad, F.col("line_id").eqNullSafe(F.col("_bad")), "left_anti")
+
+
 def valid_rows(raw: DataFrame, layout: DataFrame, invalid: DataFrame | None = None) -> DataFrame:
     """The valid records as typed rows, in the columns of ``layout`` after line_id.
 
@@ -65,7 +71,7 @@ def valid_rows(raw: DataFrame, layout: DataFrame, invalid: DataFrame | None = No
     (null where blank or no number), asn is a bigint (null where it is no number); address lists are arrays.
     """
     invalid = invalid_rows(raw, layout) if invalid is None else invalid
-    clean = raw.join(invalid.select("line_id"), "line_id", "left_anti")
+    clean = _without(raw, invalid)
     split = _parsed(clean)
     columns = [F.col("line_id").cast("bigint").alias("line_id")]
     # the layout is a table of a few rows (one per column of a record)
@@ -92,5 +98,5 @@ def valid_rows(raw: DataFrame, layout: DataFrame, invalid: DataFrame | None = No
 def reason_counts(raw: DataFrame, layout: DataFrame) -> DataFrame:
     """Number of records per outcome, ``valid`` included."""
     bad = materialize(invalid_rows(raw, layout), "invalid")
-    good = raw.join(bad.select("line_id"), "line_id", "left_anti").select(F.lit("valid").alias("reason"))
+    good = _without(raw, bad).select(F.lit("valid").alias("reason"))
     return bad.select("reason").unionByName(good).groupBy("reason").agg(F.count("*").alias("n"))

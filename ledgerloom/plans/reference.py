@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import display
 from ..keys import clean_address, clean_id
 from ..operators import attribution, chains, change, cospend, entities, evaluation, features, feature_blocks, forest, graph, mixing, observations
 from ..serve import Store, latest
@@ -109,6 +110,22 @@ def geo_enrich(s, d):
     return geo.enrich(table(s, d, "net_l2").distinct(), known).select("txid", "src_ip", "arrival_rank", "ts_micro", "geo_country", "asn", "asn_org", "country_source", "asn_source")
 
 
+def seen_and_booked(s, d):
+    """txids that both layers have."""
+    return table(s, d, "tx_l1").select("txid").intersect(table(s, d, "net_l2").select("txid"))
+
+
+def seen_only(s, d):
+    """txids that were seen and that the ledger lacks."""
+    return table(s, d, "net_l2").select("txid").subtract(table(s, d, "tx_l1").select("txid"))
+
+
+def lead_rows(s, d):
+    """Leads as they are shown."""
+    led = latest(table(s, d, "leads"), "entity_id")
+    return led.select("entity_id", display.shortened(F.col("entity_id")).alias("short_id"), display.ratio(F.col("hits"), F.col("transactions")).alias("first_relays"), display.network(F.col("asn")).alias("network"), F.coalesce("country", F.lit(display.NOTHING)).alias("country"))
+
+
 def sampled_transactions(s, d):
     """A sample of 60 transactions: the sampling operator, seeded by a hash of the txid."""
     return _tx(s, d).select("txid", "ts_micro").orderBy(F.md5(F.concat(F.lit("sample-42-"), "txid"))).limit(60)
@@ -423,7 +440,7 @@ def score_table(s, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        keep_first_observation, duplicate_counts, arrival_ranks, earliest_observation, derived_totals, conservation_check, provenance_counts, geo_enrich, sampled_transactions,
+        keep_first_observation, duplicate_counts, arrival_ranks, earliest_observation, derived_totals, conservation_check, provenance_counts, geo_enrich, seen_and_booked, seen_only, lead_rows, sampled_transactions,
         coinjoin_flags, change_guesses, first_seen_spent, cospend_clusters, cluster_ids, budgeted_clusters,
         peel_successors, peel_chains, chain_steps, folded_entities, money_flow, first_seen_from, built_nodes, built_edges, k_hop, dangling_edges, top_nodes, large_entity_transactions,
         origin_leads, best_leads, geo_concentration, permutation_null, entity_features, majority_cluster, pairwise_scores, risk_metrics,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .. import constants as K
 from ..operators.change import score_table
 from .problems import _address, _id
+from .reference import RANGES
 
 
 def _with(*names: str, recursive: bool = False) -> str:
@@ -192,7 +193,7 @@ SQL: dict[str, str] = {
     + """, k as (select risk_score as s, label::bigint as y from scored where risk_score is not null and label is not null),
       per_score as (select s, count(*) as n, sum(y) as pos from k group by 1), st as (select *, sum(pos) over (order by s desc) / sum(n) over (order by s desc) as prec from per_score),
       t as (select sum(n) as n, sum(pos) as pos, sum(n) filter (s >= 0.5) as fl, sum(pos) filter (s >= 0.5) as hit, sum(prec * pos) as area from st)
-      select n::bigint as n, round(pos / n, 9) as prevalence, round(hit / fl, 9) as precision, round(hit / pos, 9) as recall, round(2 * (hit / fl) * (hit / pos) / (hit / fl + hit / pos), 9) as f1, round(area / pos, 9) as average_precision from t""",
+      select n::bigint as n, round(pos / n, 9) as prevalence, round(coalesce(hit / nullif(fl, 0), 0), 9) as precision, round(coalesce(hit / nullif(pos, 0), 0), 9) as recall, round(coalesce(2 * (hit / fl) * (hit / pos) / nullif(hit / fl + hit / pos, 0), 0), 9) as f1, round(coalesce(area / nullif(pos, 0), 0), 9) as average_precision from t""",
     "alerts": _with("scored", "led", "owned", "heads")
     + """select s.entity_id, s.risk_score, s.is_anomaly, s.factors, l.ip, l.country, l.asn, l.hits, l.transactions, l.confidence as attribution_confidence, l.significant as attribution_significant, l.n_countries,
       coalesce(c.hops, 0) as chain_hops, coalesce(c.ll, false) as laundering_like, o.n as n_addresses
@@ -223,4 +224,36 @@ SQL: dict[str, str] = {
     "coinjoins": _with("flags") + "select txid, coinjoin_reason, n_inputs, n_outputs, total_out from flags join tx using (txid) where is_coinjoin",
     "attributed_hosts": _with("led") + "select entity_id, ip, country, asn, coalesce(n_countries, 0) > 1 as rotating from led where significant",
 }
+SQL |= {
+    "seen_and_booked": "select txid from tx_l1 intersect select txid from net_l2",
+    "seen_only": "select txid from net_l2 except select txid from tx_l1",
+    "lead_rows": _with("led")
+    + """select entity_id, case when length(entity_id) > 12 then entity_id[1:12] || '…' else entity_id end as short_id, coalesce(hits || '/' || transactions, '—') as first_relays,
+      case when asn is null or asn = 0 then '—' else 'AS' || asn end as network, coalesce(country, '—') as country from led""",
+    "risk_factors": _with("scored")
+    + """select entity_id, f.name as name, f."group" as "group", f.contribution as contribution from (select entity_id, unnest(from_json(nullif(factors, ''), '[{"name": "VARCHAR", "group": "VARCHAR", "contribution": "DOUBLE"}]')) as f from scored where factors is not null)""",
+    "geo_enrich": _with("l2")
+    + f""", known as (select *, split_part(cidr, '/', 2)::int as bits from (values {', '.join("(" + ', '.join('null' if x is None else repr(x) for x in r) + ")" for r in RANGES)}) t(cidr, country, asn, asn_org)),
+      host as (select distinct src_ip, list_transform(string_split(src_ip, '.'), lambda x: x::bigint) as o from l2 where regexp_full_match(src_ip, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+')),
+      num as (select src_ip, o[1] * 16777216 + o[2] * 65536 + o[3] * 256 + o[4] as n from host),
+      net as (select *, list_transform(string_split(split_part(cidr, '/', 1), '.'), lambda x: x::bigint) as o from known),
+      met as (select src_ip, bits, country, asn, asn_org from num join (select bits, country, asn, asn_org, o[1] * 16777216 + o[2] * 65536 + o[3] * 256 + o[4] as base from net) r on n // (1::bigint << (32 - bits)) = base // (1::bigint << (32 - bits))),
+      hit as (select src_ip, arg_max(country, bits) filter (country is not null) as c, arg_max(asn, bits) filter (asn is not null) as a, arg_max(asn_org, bits) filter (asn is not null) as g from met group by 1)
+      select txid, src_ip, arrival_rank, ts_micro, coalesce(c, geo_country) as geo_country, coalesce(a, asn)::bigint as asn, case when a is not null then coalesce(g, '') else '' end as asn_org,
+        if(c is not null, 'db', 'record') as country_source, if(a is not null, 'db', 'record') as asn_source from l2 left join hit using (src_ip)""",
+    "subgraph_nodes": _with("owned", "nodes1", recursive=False)
+    + f""", edges1 as (select distinct * from graph_edges), near as (select {_BUSIEST} as id, 0 as depth union all select target, 1 from edges1 where source = {_BUSIEST} and target is not null union all select source, 1 from edges1 where target = {_BUSIEST} and source is not null),
+      kept as (select id, min(depth) as depth from near group by 1 order by depth, id limit 60)
+      select n.id, label, name, weight, n.id = {_BUSIEST} as focus from nodes1 n where n.id in (select id from kept)""",
+    "subgraph_edges": _with("owned")
+    + f""", edges1 as (select distinct * from graph_edges), near as (select {_BUSIEST} as id, 0 as depth union all select target, 1 from edges1 where source = {_BUSIEST} and target is not null union all select source, 1 from edges1 where target = {_BUSIEST} and source is not null),
+      kept as (select id, min(depth) as depth from near group by 1 order by depth, id limit 60)
+      select id, label, source, target, printf('%.4f', amount / 1e8) as btc, observations as seen from edges1 where source in (select id from kept) and target in (select id from kept)""",
+    "pipeline_stats": _with("tx", "l2", "owned", "flags", "heads", "led", "scored")
+    + """select 'Ingest' as stage, 'tx_l1 + net_l2' as tables, format('{:,} transactions, {:,} network sightings', (select count(*) from tx), (select count(*) from l2)) as summary
+      union all select 'Clustering', 'clusters + tx_flags', format('{:,} clusters, {:,} CoinJoins filtered', (select count(distinct cluster_id) from owned), (select count(*) from flags where is_coinjoin))
+      union all select 'Graph', 'entities + chains', format('{:,} entities, {:,} chains recovered', (select count(distinct entity_id) from owned), (select count(*) from heads))
+      union all select 'Fusion', 'leads', format('{:,} significant attributions of {:,} scored', (select count(*) from led where significant), (select count(*) from led))
+      union all select 'Models', 'scores', format('{:,} entities scored, {:,} flagged as anomalous', (select count(*) from scored), (select count(*) from scored where is_anomaly))""",
+}
 SQL["hourly_long"] = f"with h as ({SQL['hourly_activity']}) select hour, 'high_risk' as kind, high_risk as n from h union all select hour, 'other', other from h"

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_known: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,6 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
             _own[app] = tempfile.mkdtemp(prefix="ledgerloom-")
             atexit.register(shutil.rmtree, _own[app], True)
         base = "file://" + _own[app]
+    if app not in _known:
+        _known.add(app)
+        atexit.register(_at_exit, spark)
     return f"{base.rstrip('/')}/ledgerloom-{app}"
 
 
@@ -35,6 +39,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results that are not written yet can then no longer be read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    try:
+        forget(spark)
+    except Exception:  # the session may be gone
+        return
+
+
 def slots(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

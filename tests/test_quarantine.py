@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import quarantine as Q
 from tests.conftest import rows
@@ -109,6 +110,8 @@ def test_very_long_lines(spark):
 def test_empty_table_and_counts(spark):
     assert rows(Q.invalid_rows(frame(spark, []), layout(spark))) == []
     assert rows(Q.reason_counts(frame(spark, [line(), None, None]), layout(spark))) == [("column_count", 2), ("valid", 1)]
+    nameless = frame(spark, [None]).withColumn("line_id", F.lit(None).cast("bigint"))
+    assert rows(Q.reason_counts(nameless, layout(spark))) == [("column_count", 1)]
 
 
 _CELL = re.compile(r'"(?:[^"]|"")*"|[^",]*')
