@@ -120,9 +120,8 @@ def address_groups(clusters: DataFrame, entities: DataFrame) -> DataFrame:
         .unionByName(entities.select(clean_address("address").alias("address"), F.concat(F.lit("2"), clean_id("entity_id")).alias("other")))
         .where("address is not null")
         .select(F.concat(F.lit("0"), "address").alias("address"), "other")
-        .distinct()
     )
-    ties = materialize(ties, "ties")
+    # repeated ties are left in: the names are made distinct, and union-find takes an edge as often as it comes
     names = ties.select(F.col("address").alias("name")).union(ties.select("other").where("other is not null")).distinct()
     dictionary, n = dense_dictionary(names, "name", ordered=True)
     dictionary = materialize(dictionary, "names")
