@@ -86,7 +86,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
         if left * 2 > before > 0:
             # the last round did little (long paths): jump to the parent's parent, which halves the way to go
             grand = met.select(F.col("v").alias("parent"), F.col("parent").alias("grand"))
-            met = materialize(lookup(met, "parent", grand, n_parents, "grand").withColumn("parent", F.coalesce("grand", "parent")).drop("grand"), "jumped")
+            met = materialize(lookup(met, "parent", grand, n_parents, "grand", written=True).withColumn("parent", F.coalesce("grand", "parent")).drop("grand"), "jumped")
         parents.append((met.select("v", "parent"), n_parents))
         others = met.where(F.size("roots") > 1).select(F.explode("roots").alias("u"), F.col("parent").alias("v")).where("u <> v")
         alive = met.join(roots, "v", "left_semi").select(F.col("v").alias("u"), F.col("parent").alias("v"))

@@ -119,7 +119,7 @@ def per_key_counts(rows: DataFrame, key: Column, item: Column, time: Column | No
     )
     dictionary, n_keys = dense_dictionary(pairs.select("key").distinct(), "key")
     dictionary = materialize(dictionary, "keys")
-    encoded = lookup(pairs, "key", dictionary, n_keys, "id").select("id", "n", "items", "first", "last")
+    encoded = lookup(pairs, "key", dictionary, n_keys, "id", written=True).select("id", "n", "items", "first", "last")
     arrays = encoded.mapInArrow(_accumulate, _ARRAYS)
     parts = max(1, min(slots(rows.sparkSession), n_keys // BLOCK + 1))
     by_lane = arrays.repartition(min(parts * LANES, slots(rows.sparkSession)), "block", "lane").sortWithinPartitions("block", "lane").mapInArrow(_reduce, _ARRAYS)

@@ -38,16 +38,18 @@ def dense_dictionary(keys: DataFrame, key: str, ident: str = "id", ordered: bool
     return out, total
 
 
-def lookup(left: DataFrame, on: str, right: DataFrame, right_rows: int, value: str) -> DataFrame:
+def lookup(left: DataFrame, on: str, right: DataFrame, right_rows: int, value: str, written: bool = False) -> DataFrame:
     """Left join of the unique-key table ``right`` (``on``, ``value``) without a hot task.
 
     Up to BROADCAST_ROWS rows ``right`` is broadcast.  Beyond, rows of hot keys (at most 1 / HOT_SHARE of
     them, so their part of ``right`` is bounded) are looked up by broadcast and spread by a random salt
-    over the shuffle in which the other rows meet ``right``.  Null keys get a null value.
+    over the shuffle in which the other rows meet ``right``.  Null keys get a null value.  ``left`` is read three times then, so it is
+    written first unless it is ``written`` already.
     """
     right = right.select(on, value)
     if right_rows <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), on, "left")
+    left = left if written else materialize(left, "left")
     counts = left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n"))
     total = left.count()
     hot = materialize(
