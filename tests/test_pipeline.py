@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import chains, evaluation, observations
 from ledgerloom.pipeline import Pipeline
 from ledgerloom.sources import generator as G
+from ledgerloom.sources import truth as T
 
 
 @pytest.fixture(scope="module")
@@ -21,9 +22,10 @@ def run(spark, tmp_path_factory):
     p.graph()
     p.fusion()
     truth = world.truth()
-    owner = spark.createDataFrame([(a, c["actor_id"], int(c["illicit"])) for c in truth["clusters"] for a in c["addresses"]], "address string, actor string, illicit int")
-    by = evaluation.majority(p.read("entities").join(owner, "address"), "entity_id", "actor")
-    p.detect(by.join(owner.select("actor", "illicit").distinct(), "actor").select("entity_id", F.col("illicit").alias("label")), 2)
+    T.write_truth(truth, str(folder / "truth.json"))
+    owned = T.owners(spark, str(folder / "truth.json"))
+    owner = owned.select("address", F.col("actor_id").alias("actor"))
+    p.detect(T.labels(p.read("entities"), owned), 2)
     return p, truth, owner, records
 
 
@@ -77,6 +79,12 @@ def test_scores_and_alerts(run):
     assert p.store().pipeline_stats().count() == 5
 
 
+def test_truth_is_read(spark, run):
+    p, truth, _, _ = run
+    path = p.out.replace("store", "truth.json")
+    assert {r["txid"]: r["actor_id"] for r in T.origins(spark, path).collect()} == truth["tx_origin_actor"]
+
+
 def test_edges_have_nodes(run):
     from ledgerloom.operators.graph import dangling_edges
 
