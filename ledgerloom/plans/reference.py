@@ -37,7 +37,8 @@ def _tx(s: SparkSession, d: str) -> DataFrame:
 
 
 def _l2(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "net_l2").distinct()
+    # partitioned by txid, which serves the distinct and what follows by txid alike: one shuffle
+    return table(s, d, "net_l2").repartition("txid").distinct()
 
 
 def _owners(s: SparkSession, d: str) -> DataFrame:
@@ -107,7 +108,7 @@ def provenance_counts(s, d):
 
 def geo_enrich(s, d):
     known = s.createDataFrame(RANGES, "cidr string, country string, asn bigint, asn_org string")
-    return geo.enrich(table(s, d, "net_l2").distinct(), known).select("txid", "src_ip", "arrival_rank", "ts_micro", "geo_country", "asn", "asn_org", "country_source", "asn_source")
+    return geo.enrich(_l2(s, d), known).select("txid", "src_ip", "arrival_rank", "ts_micro", "geo_country", "asn", "asn_org", "country_source", "asn_source")
 
 
 def seen_and_booked(s, d):
