@@ -41,6 +41,8 @@ FOREST_DEPTH = 8
 FOREST_LEAF = 2
 SEED = 42
 FOLDS = 5
+STABILITY_SEEDS = list(range(8))
+NULL_SEEDS = list(range(3))
 ISOLATION_TREES = 300
 ISOLATION_SAMPLE = 256
 CONTAMINATION = 0.08

@@ -52,17 +52,17 @@ def predict(model: RandomForestClassificationModel, rows: DataFrame, names: list
     return model.transform(assembled(rows, names)).withColumn("risk_score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def folds(rows: DataFrame, k: int = K.FOLDS) -> DataFrame:
-    """Labelled rows with a fold 0..k-1, the labels spread evenly over the folds."""
+def folds(rows: DataFrame, k: int = K.FOLDS, seed: int = K.SEED) -> DataFrame:
+    """Labelled rows with a fold 0..k-1, the labels spread evenly over the folds; another seed gives other folds."""
     w = Window.partitionBy("label", "_lane").orderBy("_hash", "entity_id")
-    laned = rows.withColumn("_hash", F.xxhash64("entity_id", F.lit(K.SEED))).withColumn("_lane", F.pmod("_hash", F.lit(64)))
+    laned = rows.withColumn("_hash", F.xxhash64("entity_id", F.lit(seed))).withColumn("_lane", F.pmod("_hash", F.lit(64)))
     # lanes begin at different folds, so short lanes do not all fill the first
     return laned.withColumn("fold", F.pmod(F.row_number().over(w) + F.col("_lane"), F.lit(k))).drop("_hash", "_lane")
 
 
-def cross_validated(rows: DataFrame, names: list[str] = K.FEATURES, trees: int = K.FOREST_TREES, k: int = K.FOLDS, seed: int = K.SEED) -> DataFrame:
+def cross_validated(rows: DataFrame, names: list[str] = K.FEATURES, trees: int = K.FOREST_TREES, k: int = K.FOLDS, seed: int = K.SEED, fold_seed: int = K.SEED) -> DataFrame:
     """(entity_id, label, risk_score) where each row is scored by the forest that did not see its fold."""
-    split = materialize(folds(rows.where("label is not null"), k), "folds")
+    split = materialize(folds(rows.where("label is not null"), k, fold_seed), "folds")
     parts = []
     for i in range(k):
         model = fit(split.where(F.col("fold") != i), names, trees, seed)
@@ -90,9 +90,15 @@ def shuffled_labels(rows: DataFrame, seed: int = K.SEED) -> DataFrame:
     return known.drop("label").join(dealt(known, "entity_id", "label", seed), "entity_id")
 
 
-def seed_stability(rows: DataFrame, seeds: list[int], trees: int = K.FOREST_TREES, k: int = K.FOLDS) -> DataFrame:
-    """Metrics for each seed."""
-    return reduce(DataFrame.unionByName, (metrics(rows, trees=trees, k=k, seed=s).withColumn("seed", F.lit(s)) for s in seeds))
+def seed_stability(rows: DataFrame, seeds: list[int] = K.STABILITY_SEEDS, trees: int = K.FOREST_TREES, k: int = K.FOLDS) -> DataFrame:
+    """Metrics for each seed of the folds; the forest's own seed stays."""
+    return reduce(DataFrame.unionByName, (metrics(rows, trees=trees, k=k, fold_seed=s).withColumn("seed", F.lit(s)) for s in seeds))
+
+
+def label_null(rows: DataFrame, seeds: list[int] = K.NULL_SEEDS, trees: int = K.FOREST_TREES, k: int = K.FOLDS) -> DataFrame:
+    """One row of metrics with the labels dealt to other rows, each the mean over the seeds of the folds."""
+    each = seed_stability(materialize(shuffled_labels(rows), "shuffled"), seeds, trees, k).drop("seed")
+    return each.agg(*(F.avg(c).cast(t).alias(c) for c, t in each.dtypes))
 
 
 def importances(model: RandomForestClassificationModel, names: list[str] = K.FEATURES) -> list[tuple[str, str, float]]:

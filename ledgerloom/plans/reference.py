@@ -409,20 +409,20 @@ def forest_importances(s, d):
 
 
 def forest_metrics(s, d):
-    return forest.metrics(_labelled(s, d), trees=60, k=3)
+    return forest.metrics(_labelled(s, d))
 
 
 def forest_ablation(s, d):
-    return forest.ablation(_labelled(s, d), trees=20, k=2)
+    return forest.ablation(_labelled(s, d))
 
 
 def forest_null(s, d):
-    """Metrics with the labels dealt to other entities."""
-    return forest.metrics(forest.shuffled_labels(_labelled(s, d)), trees=60, k=3)
+    """Metrics with the labels dealt to other entities, the mean over seeds."""
+    return forest.label_null(_labelled(s, d))
 
 
 def forest_stability(s, d):
-    return forest.seed_stability(_labelled(s, d), [1, 2, 3], trees=20, k=2)
+    return forest.seed_stability(_labelled(s, d))
 
 
 def isolation_scores(s, d):
