@@ -40,11 +40,19 @@ def _first_text(spark: SparkSession, path: str) -> str:
     return ""
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def _quotes_span_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes, as a record with a line break within quotes must have."""
+    return bool(spark.read.text(path).where("(length(value) - length(replace(value, '\"', ''))) % 2 = 1").limit(1).count())
+
+
+def read_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """CSV with a header that gives the columns' places; ten columns are required.  Ragged rows are broken.
 
-    ``multiline`` allows line breaks within quotes, at the price of one task per file.
+    ``multiline`` allows line breaks within quotes, at the price of one task per file; where it is not given, the file's
+    quotes tell whether it is needed.  A cell whose quote is never closed then reaches to the end of the file.
     """
+    if multiline is None:
+        multiline = _quotes_span_lines(spark, path)
     header = next(csv.reader(io.StringIO(_first_text(spark, path).lstrip("﻿"))), [])
     missing = [f for f in FIELDS if f not in header and f not in OPTIONAL]
     if missing:
