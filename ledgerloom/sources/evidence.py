@@ -12,6 +12,7 @@ import json
 import os
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,19 +66,41 @@ def read_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> D
     return df.select(*cells, F.col(_BROKEN).isNotNull().alias("broken"))
 
 
+def _is_document(spark: SparkSession, path: str) -> bool:
+    """Whether the whole file is one JSON value; it is streamed, up to the first error, and never held."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(place)
+    try:
+        parser = jvm.com.fasterxml.jackson.core.JsonFactory().createParser(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        parser.enable(getattr(jvm.com.fasterxml.jackson.core, "JsonParser$Feature").ALLOW_SINGLE_QUOTES)  # as Spark's reader
+        parser.nextToken()
+        parser.skipChildren()
+        return parser.nextToken() is None
+    except Py4JJavaError as e:
+        if not jvm.java.lang.Class.forName("com.fasterxml.jackson.core.JsonProcessingException").isInstance(e.java_exception):
+            raise
+        return False
+    finally:
+        stream.close()
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of records or a single one, else a record per line; a line that is no record is broken.
 
-    Numbers are read as text, so amounts keep their digits.  A file with content but without records is one broken record.
+    Numbers are read as text, so amounts keep their digits.  A file with content but without records is one broken record
+    if it is a document, else one for each line.
     """
     schema = ", ".join(f"{f} {'array<string>' if f in LISTS else 'string'}" for f in FIELDS) + f", {_BROKEN} string"
     head = _first_text(spark, path)
-    whole = head.lstrip().startswith("[")
-    if not whole and head.lstrip().startswith("{"):
+    whole = head.lstrip().startswith(("[", "{"))
+    if whole and head.lstrip().startswith("{"):
         try:
             json.loads(head)
+            whole = False
         except ValueError:
-            whole = head.strip() == "{" or not head.rstrip().endswith("}")
+            pass
+    whole = whole and _is_document(spark, path)
     df = spark.read.json(path, schema=schema, multiLine=whole, mode="PERMISSIVE", columnNameOfCorruptRecord=_BROKEN)
     cells = [F.coalesce(F.filter(f, lambda x: x.isNotNull()), F.expr("cast(array() as array<string>)")).alias(f) if f in LISTS else F.col(f) for f in FIELDS]
     return df.select(*cells, F.col(_BROKEN).isNotNull().alias("broken"))

@@ -26,3 +26,32 @@ def test_csv_without_line_breaks_in_quotes_stays_splittable(spark, tmp_path):
     (tmp_path / "a.csv").write_text("\n".join([",".join(E.FIELDS), ",".join(csv_cells("t0", '"x,""y"""'))]) + "\n")
     assert not E._quotes_span_lines(spark, str(tmp_path / "a.csv"))
     assert read(spark, tmp_path / "a.csv")[0].first()["script_type"] == 'x,"y"'
+
+
+def valid_txids(spark, path):
+    got = read(spark, path)[0].orderBy("record_no").collect()
+    return [r["txid"] if r["valid"] else None for r in got]
+
+
+LINES = [json.dumps(RECORD | {"txid": f"t{i}"}) for i in range(3)]
+
+
+@pytest.mark.parametrize("broken", ['{"txid": "a', '{"txid":', "{", '{"txid": "a",', "[", '[{"txid": "a"', '{"a": {}', "{broken}"])
+def test_a_broken_first_line_loses_only_itself(spark, tmp_path, broken):
+    (tmp_path / "a.jsonl").write_text("\n".join([broken, *LINES]) + "\n")
+    assert valid_txids(spark, tmp_path / "a.jsonl") == [None, "t0", "t1", "t2"]
+
+
+def test_documents_are_still_read_whole(spark, tmp_path):
+    records = [json.loads(x) for x in LINES]
+    for name, text, wanted in (
+        ("pretty", json.dumps(records, indent=1), ["t0", "t1", "t2"]), ("flat", json.dumps(records), ["t0", "t1", "t2"]), ("one", json.dumps(records[0], indent=2), ["t0"]),
+        ("nested", '{"extra": {"a": 1}\n, ' + LINES[0][1:], ["t0"]), ("blank", "\n\n" + json.dumps(records, indent=1) + "\n\n", ["t0", "t1", "t2"]),
+    ):
+        (tmp_path / f"{name}.json").write_text(text)
+        assert valid_txids(spark, tmp_path / f"{name}.json") == wanted, name
+
+
+def test_a_document_with_lines_behind_it_is_read_by_line(spark, tmp_path):
+    (tmp_path / "a.json").write_text("{\n}\n" + LINES[0] + "\n")
+    assert valid_txids(spark, tmp_path / "a.json") == [None, None, "t0"]
