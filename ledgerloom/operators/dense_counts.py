@@ -1,6 +1,7 @@
 """Per-key counts by dense accumulator arrays, even when a few keys hold most rows.
 
-Rows are first combined per (key, item) - a shuffle on both, so a hot key is spread over its items -, keys are
+Where items are counted, rows are first combined per (key, item) - a shuffle on both, so a hot key is spread over its
+items -; where only rows are, they stay as they are.  Keys are
 dictionary-encoded as integers 0..n-1, each input split adds its rows into dense arrays with ``numpy.bincount``
 and ``ufunc.at``, and the array blocks of all splits are summed in a two-level tree reduction.
 No task's work depends on how rows are spread over keys.
@@ -104,19 +105,21 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def per_key_counts(rows: DataFrame, key: Column, item: Column, time: Column | None = None) -> DataFrame:
+def per_key_counts(rows: DataFrame, key: Column, item: Column | None, time: Column | None = None) -> DataFrame:
     """One row per key: key, n (rows), items (distinct non-null items), first and last (least and greatest time).
 
     Null keys are left out (use ``rows.count()`` for a total that holds them); null items count as rows only;
     null times are left out of first and last, which are null for a key without any time.  Repeated rows count
-    each.  An empty input gives no rows; other columns of ``rows`` are never read.
+    each.  An empty input gives no rows; other columns of ``rows`` are never read.  Without an item (None) nothing is
+    combined first: the rows themselves are encoded and counted.
     """
     t = F.lit(None).cast("bigint") if time is None else time.cast("bigint")
-    picked = rows.select(key.alias("key"), item.alias("item"), t.alias("t")).where(F.col("key").isNotNull())
-    pairs = materialize(
-        picked.groupBy("key", "item").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last")).select("key", "n", F.col("item").isNotNull().cast("bigint").alias("items"), "first", "last"),
-        "pairs",
-    )
+    keyed = rows.select(key.alias("key"), *([] if item is None else [item.alias("item")]), t.alias("t")).where(F.col("key").isNotNull())
+    if item is None:
+        pairs = keyed.select("key", F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("items"), F.col("t").alias("first"), F.col("t").alias("last"))
+    else:
+        pairs = keyed.groupBy("key", "item").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last")).select("key", "n", F.col("item").isNotNull().cast("bigint").alias("items"), "first", "last")
+    pairs = materialize(pairs, "pairs")
     dictionary, n_keys = dense_dictionary(pairs.select("key").distinct(), "key")
     dictionary = materialize(dictionary, "keys")
     encoded = lookup(pairs, "key", dictionary, n_keys, "id", written=True).select("id", "n", "items", "first", "last")
@@ -131,4 +134,4 @@ def per_key_counts(rows: DataFrame, key: Column, item: Column, time: Column | No
 def heavy_keys(rows: DataFrame, key: Column, one_in: int) -> DataFrame:
     """Keys that hold at least one in ``one_in`` of all rows, rows without a key counted in the total: key, n."""
     total = rows.count()
-    return per_key_counts(rows, key, F.lit(None).cast("string")).where(F.col("n") * one_in >= total).select("key", "n")
+    return per_key_counts(rows, key, None).where(F.col("n") * one_in >= total).select("key", "n")
