@@ -58,33 +58,32 @@ def _period(c: str) -> Column:
 def _and_not(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     """One key range: bitmaps per period of references and of parents valid throughout, and the surviving bits.
 
-    ``group`` has at most RANGE x periods references and one row per distinct validity of a key.
+    ``group`` has at most RANGE x periods references and one row per distinct validity of a key.  Only periods with a
+    reference are swept, so memory and time follow the rows, not the calendar.
     """
     refs, held = group[group["is_ref"]], group[~group["is_ref"]]
-    low = int(group["lo"].where(group["is_ref"]).min())
-    high = int(group["lo"].where(group["is_ref"]).max())
-    days = high - low + 1
-    step = np.zeros((days + 1, RANGE), np.int16)
-    a, b = np.clip(held["lo"].to_numpy() - low, 0, days), np.clip(held["hi"].to_numpy() - low + 1, 0, days)
-    whole = a < b
-    np.add.at(step, (a[whole], held["bit"].to_numpy()[whole]), 1)
-    np.add.at(step, (b[whole], held["bit"].to_numpy()[whole]), -1)
+    periods, turn = np.unique(refs["lo"].to_numpy(), return_inverse=True)
+    first, past = np.searchsorted(periods, held["lo"].to_numpy()), np.searchsorted(periods, held["hi"].to_numpy(), "right")
+    whole = first < past
+    # what begins and ends before each of the periods, in the order of periods
+    at = np.r_[first[whole], past[whole]]
+    order = np.argsort(at, kind="stable")
+    at, bits, by = at[order], np.tile(held["bit"].to_numpy()[whole], 2)[order], np.repeat([1, -1], whole.sum())[order]
+    changes = np.searchsorted(at, np.arange(len(periods) + 1))
+    order = np.argsort(turn, kind="stable")
+    bit_of, cuts = refs["bit"].to_numpy()[order], np.searchsorted(turn[order], np.arange(len(periods) + 1))
     valid = np.zeros(RANGE, np.int32)
-    order = np.argsort(refs["lo"].to_numpy(), kind="stable")
-    day_of, bit_of = refs["lo"].to_numpy()[order] - low, refs["bit"].to_numpy()[order]
-    cuts = np.searchsorted(day_of, np.arange(days + 1))
-    out_days, out_maps = [], []
-    for d in range(days):
-        valid += step[d]
-        if cuts[d] == cuts[d + 1]:
-            continue
+    out_periods, out_maps = [], []
+    for i, period in enumerate(periods):
+        new = slice(changes[i], changes[i + 1])
+        np.add.at(valid, bits[new], by[new])
         referred = np.zeros(RANGE, bool)
-        referred[bit_of[cuts[d] : cuts[d + 1]]] = True
+        referred[bit_of[cuts[i] : cuts[i + 1]]] = True
         left = np.packbits(referred) & ~np.packbits(valid > 0)
         if left.any():
-            out_days.append(d + low)
+            out_periods.append(period)
             out_maps.append(zlib.compress(left.tobytes(), 1))
-    return pd.DataFrame({"range": [int(key[0])] * len(out_days), "period": out_days, "bitmap": out_maps})
+    return pd.DataFrame({"range": [int(key[0])] * len(out_periods), "period": out_periods, "bitmap": out_maps})
 
 
 def _decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

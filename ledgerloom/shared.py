@@ -1,7 +1,7 @@
 """Tables written to the cluster's shared folder, to cut lineage and to be read more than once.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, local
-runs) a folder of our own is made.  Written tables survive the loss of any executor.
+The folder is the one the cluster names in ``spark.checkpoint.dir`` or the context's checkpoint directory; only where both are
+unset and the master is local (tests) a folder of our own is made.  Written tables survive the loss of any executor.
 """
 
 from __future__ import annotations
@@ -18,10 +18,20 @@ _known: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables of this application."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
+    """The shared folder for intermediate tables of this application.
+
+    That is the one named in ``spark.checkpoint.dir``, else the context's checkpoint directory.  Without either a folder of
+    this machine is made, but only where driver and executors are one process; on a cluster, where executors would
+    each write to a disk of their own, a RuntimeError is raised instead.
+    """
+    context = spark.sparkContext
+    base, app = spark.conf.get("spark.checkpoint.dir", None), context.applicationId
+    if not base:
+        held = context._jsc.sc().getCheckpointDir()
+        base = held.get() if held.isDefined() else None
     if not base:
+        if not _one_process(context.master):
+            raise RuntimeError(f"no shared folder for intermediate tables: set spark.checkpoint.dir or a checkpoint directory (master {context.master})")
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="ledgerloom-")
             atexit.register(shutil.rmtree, _own[app], True)
@@ -32,6 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/ledgerloom-{app}"
 
 
+def _one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a zstd Parquet table in the shared folder and return a scan of it."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

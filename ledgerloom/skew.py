@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, slots
 
-#: Largest lookup table (rows of a short key and an integer) that is broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of keys and values of a lookup table that is broadcast; larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16_000_000
 #: A key counts as hot from this share of the rows on; so there are never more than 1 / HOT_SHARE hot keys.
 HOT_SHARE = 0.001
 
@@ -38,48 +38,71 @@ def dense_dictionary(keys: DataFrame, key: str, ident: str = "id", ordered: bool
     return out, total
 
 
+def is_small(table: DataFrame, rows: int) -> bool:
+    """Whether a table of ``rows`` rows may be broadcast: by its rows, then by the bytes of its texts, which are added up."""
+    if rows > BROADCAST_ROWS:
+        return False
+    size = lambda c: F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
+    texts = [c for c, kind in table.dtypes if kind not in ("bigint", "int", "boolean", "double")]
+    return not texts or (table.agg(F.sum(sum(map(size, texts), F.lit(0)))).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def lookup(left: DataFrame, on: str, right: DataFrame, right_rows: int, value: str, written: bool = False) -> DataFrame:
     """Left join of the unique-key table ``right`` (``on``, ``value``) without a hot task.
 
-    Up to BROADCAST_ROWS rows ``right`` is broadcast.  Beyond, rows of hot keys (at most 1 / HOT_SHARE of
-    them, so their part of ``right`` is bounded) are looked up by broadcast and spread by a random salt
-    over the shuffle in which the other rows meet ``right``.  Null keys get a null value.  ``left`` is read three times then, so it is
-    written first unless it is ``written`` already.
+    A small ``right`` is broadcast.  Else rows of hot keys (at most 1 / HOT_SHARE of them, so their part of ``right`` is
+    bounded) are looked up by broadcast where they lie, and only the other rows are shuffled to meet ``right``.  Null keys get
+    a null value and are not shuffled either.  ``left`` is read several times then, so it is written first unless it is
+    ``written`` already.
     """
     right = right.select(on, value)
-    if right_rows <= BROADCAST_ROWS:
+    if is_small(right, right_rows):
         return left.join(F.broadcast(right), on, "left")
     left = left if written else materialize(left, "left")
-    counts = left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n"))
+    cols = [*left.columns, value]
+    known = left.where(F.col(on).isNotNull())
     total = left.count()
-    hot = materialize(
-        right.join(F.broadcast(counts.where(F.col("_n") >= max(2.0, total * HOT_SHARE)).select(on)), on).select(F.col(on).alias("_hot_key"), F.col(value).alias("_hot_value"), F.lit(True).alias("_is_hot")),
-        "hot",
-    )
-    salted = left.join(F.broadcast(hot), F.col(on) == F.col("_hot_key"), "left").withColumn(
-        "_salted", F.when(F.col("_is_hot") | F.col(on).isNull(), F.concat(F.lit("\x00hot"), F.rand(17).cast("string"))).otherwise(F.col(on).cast("string"))
-    )
-    other = right.select(F.col(on).cast("string").alias("_right_key"), F.col(value).alias("_right_value"))
-    cols: list[Column] = [F.col(c) for c in left.columns]
-    return salted.join(other, F.col("_salted") == F.col("_right_key"), "left").select(*cols, F.when(F.col("_is_hot"), F.col("_hot_value")).otherwise(F.col("_right_value")).alias(value))
+    counts = known.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") >= max(2.0, total * HOT_SHARE))
+    hot = materialize(right.join(F.broadcast(counts.select(on)), on), "hot")
+    other = left.where(F.col(on).isNull()).withColumn(value, F.lit(None).cast(right.schema[value].dataType)).select(cols)
+    if not hot.isEmpty():
+        other = other.unionByName(known.join(F.broadcast(hot), on).select(cols))
+        known = known.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return known.join(right, on, "left").select(cols).unionByName(other)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], limit: int = 1_000_000) -> DataFrame:
+    """Inner join of ``rows`` with written ``groups``: one row of fixed width per key, with the number ``n`` of rows it has.
+
+    Up to ``limit`` groups are broadcast; beyond, those that hold HOT_SHARE of the rows or more are, and only the rows of others
+    are shuffled.
+    """
+    if groups.count() <= limit:
+        return rows.join(F.broadcast(groups), on)
+    hot = groups.where(F.col("n") >= max(2.0, rows.count() * HOT_SHARE))
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(groups, on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)
 
 
-def dealt(rows: DataFrame, key: str, value: str, seed: int, lanes: int = 64) -> DataFrame:
+def dealt(rows: DataFrame, key: str, value: str, seed: int, lanes: int | None = None) -> DataFrame:
     """(key, value) with the values dealt to other keys at random, each as often as before; a function of the seed.
 
-    Both columns are numbered in orders of their own, by hashes and in ``lanes`` tasks, and meet on the number; only
-    the lanes' sizes reach the driver.  Keys must be unique and are not null.
+    Both columns are numbered in orders of their own, by hashes and in ``lanes`` tasks (else as many as the session has
+    partitions), and meet on the number; only the lanes' sizes reach the driver.  Keys must be unique and are not null.
     """
+    lanes = lanes or max(64, slots(rows.sparkSession))
     rows = materialize(rows.select(key, value), "dealt")
 
     def numbered(s: int) -> DataFrame:
-        laned = rows.withColumn("_lane", F.pmod(F.xxhash64(key, F.lit(s)), F.lit(lanes)).cast("int"))
+        # lanes are stretches of the hash's range, so the order is that of the hash, however many lanes there are
+        hashed = rows.withColumn("_hash", F.xxhash64(key, F.lit(s)))
+        laned = hashed.withColumn("_lane", F.least(F.lit(lanes - 1), F.floor((F.col("_hash") / F.lit(2.0**64) + 0.5) * lanes)).cast("int"))
         offsets, total = [], 0
         for r in sorted(laned.groupBy("_lane").agg(F.count("*").alias("n")).collect()):
             offsets.append((r["_lane"], total))
             total += r["n"]
         table = rows.sparkSession.createDataFrame(offsets, "_lane int, _offset bigint")
-        place = F.row_number().over(Window.partitionBy("_lane").orderBy(F.xxhash64(key, F.lit(s + 1)), key))
+        place = F.row_number().over(Window.partitionBy("_lane").orderBy("_hash", key))
         return laned.withColumn("_place", place).join(F.broadcast(table), "_lane").withColumn("_at", F.col("_offset") + F.col("_place"))
 
     return numbered(seed).select(key, "_at").join(numbered(seed + 100).select(value, "_at"), "_at").select(key, value)

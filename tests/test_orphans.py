@@ -54,6 +54,20 @@ def test_bounds_of_validity(spark):
     assert found(spark, edges, [], [], nodes, []) == brute(edges, [], [], nodes, [])
 
 
+def test_far_dates(spark):
+    first, last = datetime(1970, 1, 1, 5), datetime(9999, 12, 30, 7)
+    nodes = [("a", first, last), ("b", datetime(1900, 1, 1), None), ("c", last, None), ("d", datetime(2027, 1, 1), datetime(2027, 1, 3)), ("d", datetime(2027, 1, 2), last)]
+    edges = [(f"{i}", "x", k, "b", t, None) for i, (k, t) in enumerate((k, t) for k in "abcde" for t in (first, datetime(2027, 1, 2, 3), last))]
+    assert found(spark, edges, [], [], nodes, []) == brute(edges, [], [], nodes, [])
+
+
+def test_a_key_with_half_of_the_references(spark):
+    day = datetime(2027, 3, 1)
+    nodes = [("hot", day + timedelta(hours=12), day + timedelta(hours=36)), ("k1", day, None)]
+    edges = [(f"e{i}", "x", "hot", f"k{i % 3}", day + timedelta(minutes=7 * i), None) for i in range(600)]
+    assert found(spark, edges, [], [], nodes, []) == brute(edges, [], [], nodes, [])
+
+
 def test_empty_tables(spark):
     assert found(spark, [], [], [], [], []) == []
     day = datetime(2027, 3, 1)
