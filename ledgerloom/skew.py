@@ -71,7 +71,7 @@ def lookup(left: DataFrame, on: str, right: DataFrame, right_rows: int, value: s
     return known.join(right, on, "left").select(cols).unionByName(other)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], limit: int = 1_000_000) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], limit: int = 500_000) -> DataFrame:
     """Inner join of ``rows`` with written ``groups``: one row of fixed width per key, with the number ``n`` of rows it has.
 
     Up to ``limit`` groups are broadcast; beyond, those that hold HOT_SHARE of the rows or more are, and only the rows of others
