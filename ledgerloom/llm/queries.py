@@ -44,7 +44,7 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.sharing_pairs(*spans.shared_stretches(_documents(spark, d)))
+    return spans.sharing_pairs(_documents(spark, d))
 
 
 def p8_coverage(spark: SparkSession, d: str) -> DataFrame:

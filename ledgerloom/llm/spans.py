@@ -3,7 +3,9 @@
 Lines and paragraphs find passages that begin and end with a unit.  A shared passage may begin anywhere, so the
 default unit is cut by content: of all stretches of ``UNIT`` characters, those whose hash is the least within a window.
 Any stretch of ``least`` characters holds such a unit, and it holds the same ones in every document, so documents
-that share a stretch meet in the group of a digest.  Members of a group are compared with the text around the unit.
+that share a stretch meet in the group of a digest.  The members of a small group are compared with the text around the
+unit.  Around the members of a large one (a footer, a licence) every window of ``least`` characters that holds the unit is hashed
+to 128 bits and these digests are grouped in turn, so the work is linear in the members, whatever they have in common.
 
 The earliest ranked occurrence (least doc_id, then least offset) of a passage is kept, later ones are removed, with
 their original offsets.
@@ -19,13 +21,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import materialize, slots
-from ..skew import lookup
+from ..skew import join_groups, lookup
 
 #: Characters of a unit (a power of two times 1.5 keeps hashing short) and the length that passages have at least.
 UNIT, LEAST = 96, 200
 #: Document ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members of a digest's group that are compared in one task; larger groups are compared chunk by chunk.
+#: Members of a digest's group that are compared with one another; larger groups are settled by digests of windows.
+PAIRWISE = 128
+#: Members of a class of documents whose pairs are listed in one task; larger classes are listed chunk by chunk.
 CHUNK = 512
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -39,6 +43,28 @@ def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x
 
 
+def window_digests(points: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests, as two halves, of all stretches of ``length`` code points, from hashes of 1, 2, 4, ... of them."""
+    n = len(points) - length + 1
+    out = []
+    for seed in (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)):
+        h = (points.astype(np.uint64) + np.uint64(1)) * seed
+        h ^= h >> np.uint64(31)
+        h *= _B ^ seed
+        whole, done, size = None, 0, 1
+        while True:
+            if length & size:
+                part = h[done : done + n]
+                whole = part if whole is None else _join(whole, part ^ (part >> np.uint64(29)))
+                done += size
+            if done == length:
+                break
+            h = _join(h[:-size], h[size:])
+            size *= 2
+        out.append(whole.view(np.int64))
+    return out[0], out[1]
+
+
 def unit_hashes(points: np.ndarray) -> np.ndarray:
     """64-bit hashes of all stretches of UNIT = 64 + 32 code points, by doubling."""
     h = points.astype(np.uint64)
@@ -105,10 +131,10 @@ def _batch(docs: list, places: list, digests: list) -> pa.RecordBatch:
 
 def representatives(documents: DataFrame, least: int) -> DataFrame:
     """(doc_id, first): texts of at least ``least`` characters that other documents repeat as a whole, first the least id."""
-    texts = documents.where(F.length("text") >= least).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.sha2("text", 256).alias("digest"))
+    texts = documents.where(F.length("text") >= least).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("digest"))
     texts = materialize(texts, "texts")
-    firsts = texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return materialize(texts.join(firsts.select("digest", "first"), "digest").select("doc_id", "first"), "copies")
+    firsts = materialize(texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    return materialize(join_groups(texts, firsts, ["digest"]).select("doc_id", "first").distinct(), "copies")
 
 
 def _without(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -116,30 +142,56 @@ def _without(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return documents.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
 
 
+def _batches(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType], size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of at most ``size`` rows."""
+    out: list[tuple] = []
+    for row in rows:
+        out.append(row)
+        if len(out) >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+
 def _context(side: int):
     """Documents with the places of their shared units, one row per document: a row per unit with the text around it."""
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
-            out: list[tuple] = []
             for doc, text, places in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["places"].to_pylist()):
                 for p in places:
-                    out.append((doc, p["at"], p["digest"], p["chunks"], text[max(0, p["at"] - side) : p["at"]], text[p["at"] : p["at"] + UNIT], text[p["at"] + UNIT : p["at"] + UNIT + side]))
-                    if len(out) >= 20_000:
-                        yield _rows(out)
-                        out = []
-            if out:
-                yield _rows(out)
+                    at, past = p["at"], p["at"] + UNIT
+                    yield doc, at, p["digest"], text[max(0, at - side) : at], text[at:past], text[past : past + side]
 
-    return run
+    return lambda batches: _batches(rows(batches), ["doc_id", "at", "digest", "before", "unit", "after"], kinds)
 
 
-_UNIT_ROW = "doc_id bigint, at int, digest bigint, chunks int, before string, unit string, after string"
+_UNIT_ROW = "doc_id bigint, at int, digest bigint, before string, unit string, after string"
 
 
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "at", "digest", "chunks", "before", "unit", "after"])
+def _windows(least: int):
+    """Documents with the places of units of large groups: a row per window of ``least`` characters that holds such a unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, text, places in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["places"].to_pylist()):
+                points, last = _points(text), len(text) - least
+                # windows around neighbouring units overlap; each start is taken once
+                edges = np.zeros(last + 2, np.int32)
+                at = np.array([p["at"] for p in places])
+                np.add.at(edges, np.maximum(0, at + UNIT - least), 1)
+                np.add.at(edges, np.minimum(at, last) + 1, -1)
+                inside = np.cumsum(edges[:-1]) > 0
+                turns = np.flatnonzero(np.diff(np.r_[False, inside, False]))
+                for begin, end in zip(turns[::2], turns[1::2]):
+                    for s in range(begin, end, 500_000):
+                        e = min(end, s + 500_000)
+                        high, low = window_digests(points[s : e + least - 1], least)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(e - s, doc, np.int64)), pa.array(np.arange(s, e, dtype=np.int32)), pa.array(high), pa.array(low)], names=["doc_id", "start", "high", "low"])
+
+    return run
 
 
 def _common(a: str, b: str) -> int:
@@ -157,15 +209,14 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def _stretches(rows: list[tuple], crossing: bool, least: int) -> list[tuple[int, int, int, int, int]]:
-    """Common stretches around the unit of a group's pairs of documents; of crossing chunks, pairs between them only."""
+def _stretches(rows: list[tuple], least: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(doc_a, doc_b, start_a, start_b, length): common stretches around the unit of a group's pairs of documents."""
     # occurrences with the same text around them are one class; they are alike in every comparison
-    classes: dict[tuple[str, str, str], list[tuple[int, int, int]]] = {}
-    for doc, at, chunk, before, unit, after in rows:
-        classes.setdefault((before, unit, after), []).append((doc, at, chunk))
+    classes: dict[tuple[str, str, str], list[tuple[int, int]]] = {}
+    for doc, at, *text in rows:
+        classes.setdefault(tuple(text), []).append((doc, at))
     names = list(classes)
     turned = [x[0][::-1] for x in names]
-    out: set[tuple[int, int, int, int, int]] = set()
     for i, x in enumerate(names):
         for j in range(i, len(names)):
             y = names[j]
@@ -175,79 +226,136 @@ def _stretches(rows: list[tuple], crossing: bool, least: int) -> list[tuple[int,
             length = before + UNIT + (len(x[2]) if i == j else _common(x[2], y[2]))
             if length < least:
                 continue
-            for doc_a, at_a, chunk_a in classes[x]:
-                for doc_b, at_b, chunk_b in classes[y]:
-                    if doc_a < doc_b and not (crossing and chunk_a == chunk_b):
-                        out.add((doc_a, doc_b, at_a - before, at_b - before, length))
-                    elif doc_b < doc_a and i != j and not (crossing and chunk_a == chunk_b):
-                        out.add((doc_b, doc_a, at_b - before, at_a - before, length))
-    return list(out)
+            for doc_a, at_a in classes[x]:
+                for doc_b, at_b in classes[y]:
+                    if doc_a < doc_b:
+                        yield doc_a, doc_b, at_a - before, at_b - before, length
+                    elif doc_b < doc_a and i != j:
+                        yield doc_b, doc_a, at_b - before, at_a - before, length
 
 
-def _compare(least: int):
-    """Rows sorted by (digest, one, two); a group is held at a time, and has two chunks at most."""
-    names = ["doc_a", "doc_b", "start_a", "start_b", "length"]
+def _as_pairs(found: Iterator[tuple]) -> set[tuple]:
+    return {(a, b) for a, b, *_ in found}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
+
+def _as_spans(found: Iterator[tuple]) -> set[tuple]:
+    out = set()
+    for a, b, start_a, start_b, length in found:
+        out.add((a, start_a, start_a + length, False))
+        out.add((b, start_b, start_b + length, True))
+    return out
+
+
+_PAIRS = "doc_a bigint, doc_b bigint", _as_pairs, [pa.int64(), pa.int64()]
+_SPANS = "doc_id bigint, start bigint, end bigint, later boolean", _as_spans, [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+
+
+def _compare(least: int, form: tuple):
+    """Rows sorted by digest; a group, of PAIRWISE members at most, is held at a time."""
+    schema, shape, kinds = form
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        key, group = None, []
         for b in batches:
-            cols = [b[c].to_pylist() for c in ("digest", "one", "two", "doc_id", "at", "chunk", "before", "unit", "after")]
-            for digest, one, two, *row in zip(*cols):
-                if (digest, one, two) != key:
-                    if key:
-                        out += _stretches(rows, key[1] != key[2], least)
-                    key, rows = (digest, one, two), []
-                    if len(out) > 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
-                        out = []
-                rows.append(tuple(row))
-        if key:
-            out += _stretches(rows, key[1] != key[2], least)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=names)
+            for digest, *row in zip(*(b[c].to_pylist() for c in ("digest", "doc_id", "at", "before", "unit", "after"))):
+                if digest != key:
+                    yield from shape(_stretches(group, least))
+                    key, group = digest, []
+                group.append(row)
+        yield from shape(_stretches(group, least))
 
-    return run
+    return lambda batches: _batches(rows(batches), [c.split()[0] for c in schema.split(", ")], kinds, 50_000)
 
 
-def shared_stretches(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Stretches of ``least`` or more characters (code points) in common between different texts, and the copies.
+class Shared:
+    """What the documents of a table have in common: stretches of ``least`` or more characters (code points).
 
-    First (doc_a, doc_b, start_a, start_b, length), doc_a < doc_b: together these cover every common stretch of a
-    pair exactly, in overlapping parts.  Second (doc_id, first): documents whose whole text repeats another's; only the
-    least doc_id of equal texts is in the first table.  Null, empty and shorter texts share nothing, nor do rows
-    without a doc_id; a repeated row shares nothing with itself; texts of any length are read whole.
+    ``copies`` (doc_id, first) are documents whose whole text repeats another's; of equal texts only the least doc_id takes part in
+    the rest.  ``around`` has the units of small groups with the text around them, ``windows`` (doc_id, start, high, low, first_doc,
+    last_doc) the windows around units of large groups that stand in several documents, None where there are no large groups.
+    Null, empty and shorter texts share nothing, nor do rows without a doc_id; a repeated row shares nothing with itself;
+    texts of any length are read whole.
     """
-    spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    copies = representatives(docs, least)
-    once = _without(docs.where(F.length("text") >= least), copies.where("doc_id <> first").select("doc_id"))
-    units = materialize(once.mapInArrow(_units(least), "doc_id bigint, at int, digest bigint"), "units")
-    groups = units.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
-    groups = groups.select("digest", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    shared = materialize(units.join(groups, "digest"), "shared")
-    # texts are read again for the documents of shared units only
-    ids = shared.select("doc_id").distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    places = shared.groupBy("doc_id").agg(F.collect_list(F.struct("at", "digest", "chunks")).alias("places"))
-    around = texts.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_context(least - UNIT), _UNIT_ROW)
-    # a large group is cut into chunks, and each pair of chunks is a task of its own
-    chunk = F.pmod(F.xxhash64("doc_id", "at"), F.col("chunks")).cast("int")
-    spread = around.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    spread = spread.withColumn("one", F.least("chunk", "other")).withColumn("two", F.greatest("chunk", "other"))
-    grouped = spread.select("digest", "one", "two", "doc_id", "at", "chunk", "before", "unit", "after").repartition(slots(spark), "digest", "one", "two").sortWithinPartitions("digest", "one", "two")
-    return materialize(grouped.mapInArrow(_compare(least), "doc_a bigint, doc_b bigint, start_a bigint, start_b bigint, length bigint"), "stretches"), copies
-
-
-def sharing_pairs(stretches: DataFrame, copies: DataFrame) -> DataFrame:
+
+    def __init__(self, documents: DataFrame, least: int = LEAST) -> None:
+        self.documents, self.least = documents, least
+        docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+        self.copies = representatives(docs, least)
+        once = _without(docs.where(F.length("text") >= least), self.copies.where("doc_id <> first").select("doc_id"))
+        units = materialize(once.mapInArrow(_units(least), "doc_id bigint, at int, digest bigint"), "units")
+        groups = units.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
+        groups = materialize(groups.select("digest", "n"), "groups")
+        shared = materialize(join_groups(units, groups, ["digest"]).select("doc_id", "at", "digest", (F.col("n") > PAIRWISE).alias("large")), "shared")
+        self.around = self._read(docs, shared.where("not large"), _context(least - UNIT), _UNIT_ROW)
+        self.windows = None
+        if not groups.where(F.col("n") > PAIRWISE).isEmpty():
+            every = materialize(self._read(docs, shared.where("large"), _windows(least), "doc_id bigint, start int, high bigint, low bigint"), "windows")
+            met = every.groupBy("high", "low").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n")).where("first_doc < last_doc")
+            self.windows = materialize(join_groups(every, materialize(met, "met"), ["high", "low"]).drop("n"), "windows")
+
+    @staticmethod
+    def _read(docs: DataFrame, shared: DataFrame, run, schema: str) -> DataFrame:
+        """Texts are read again, for the documents of shared units only."""
+        ids = shared.select("doc_id").distinct()
+        texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+        places = shared.groupBy("doc_id").agg(F.collect_list(F.struct("at", "digest")).alias("places"))
+        return texts.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, schema)
+
+    def _compared(self, form: tuple) -> DataFrame:
+        grouped = self.around.repartition(slots(self.documents.sparkSession), "digest").sortWithinPartitions("digest")
+        return grouped.mapInArrow(_compare(self.least, form), form[0])
+
+    def pairs(self) -> DataFrame:
+        """(doc_a, doc_b), doc_a < doc_b, of documents with different texts."""
+        found = self._compared(_PAIRS)
+        if self.windows is not None:
+            # windows that stand in the same documents are one class: a passage of any length is listed once
+            held = materialize(self.windows.select("high", "low", "doc_id").distinct(), "held")
+            sets = held.groupBy("high", "low").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"x{i}") for i in (1, 2)))
+            classes = materialize(sets.groupBy("n", "x1", "x2").agg(F.min(F.struct("high", "low")).alias("w")).select("w.high", "w.low", "n"), "classes")
+            found = found.unionByName(pairs_within(join_groups(held, classes, ["high", "low"]), ["high", "low"]))
+        return materialize(found.distinct(), "pairs")
+
+    def spans(self) -> DataFrame:
+        """(doc_id, start, end, later): shared stretches of each document, later where a lesser doc_id has it too."""
+        found = self._compared(_SPANS)
+        if self.windows is not None:
+            start = F.col("start").cast("bigint")
+            found = found.unionByName(self.windows.select("doc_id", start.alias("start"), (start + self.least).alias("end"), (F.col("doc_id") > F.col("first_doc")).alias("later")))
+        lengths = self.documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").cast("bigint").alias("end"))
+        wholes = lengths.join(self.copies, "doc_id").select("doc_id", F.lit(0).cast("bigint").alias("start"), "end", (F.col("doc_id") > F.col("first")).alias("later"))
+        return found.unionByName(wholes)
+
+
+def pairs_within(members: DataFrame, key: list[str]) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b: all pairs of doc_ids with one key; ``n`` is the number of rows of the key.
+
+    Rows are dealt to chunks of about CHUNK and each pair of chunks is joined by itself, so no task lists more than CHUNK squared.
+    """
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    dealt = members.select(*key, "doc_id", chunks.alias("chunks"), F.pmod(F.xxhash64("doc_id"), chunks).cast("int").alias("chunk"))
+    left = dealt.select(*key, F.col("doc_id").alias("a"), F.col("chunk").alias("one"), F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("two"))
+    right = dealt.select(*key, F.col("doc_id").alias("b"), F.explode(F.sequence(F.lit(0), "chunk")).alias("one"), F.col("chunk").alias("two"))
+    met = left.join(right, [*key, "one", "two"]).where("a < b or (one < two and a <> b)")
+    return met.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
+
+
+def _members(pairs: DataFrame, side: str, copies: DataFrame) -> DataFrame:
+    """``pairs`` with the representative in column ``side`` replaced by each of its copies, CHUNK of them a task."""
+    sizes = copies.groupBy("first").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = copies.join(sizes, "first").select(F.col("first").alias(side), F.pmod(F.xxhash64("doc_id"), "chunks").cast("int").alias("chunk"), F.col("doc_id").alias("member"))
+    spread = pairs.join(sizes.withColumnRenamed("first", side), side, "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+    other = next(c for c in ("doc_a", "doc_b") if c != side)
+    return spread.join(dealt, [side, "chunk"], "left").select(F.coalesce("member", side).alias(side), other)
+
+
+def sharing_pairs(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: all pairs of documents with a common stretch, pairs with and among copies included."""
-    pairs = stretches.select("doc_a", "doc_b").distinct()
-    of_a = copies.select(F.col("first").alias("doc_a"), F.col("doc_id").alias("member_a"))
-    of_b = copies.select(F.col("first").alias("doc_b"), F.col("doc_id").alias("member_b"))
-    every = pairs.join(of_a, "doc_a", "left").join(of_b, "doc_b", "left").select(F.coalesce("member_a", "doc_a").alias("a"), F.coalesce("member_b", "doc_b").alias("b"))
-    between = every.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"))
-    among = copies.select("first", F.col("doc_id").alias("doc_a")).join(copies.select("first", F.col("doc_id").alias("doc_b")), "first").where("doc_a < doc_b")
-    return between.unionByName(among.select("doc_a", "doc_b"))
+    found = Shared(documents, least)
+    every = _members(_members(found.pairs(), "doc_a", found.copies), "doc_b", found.copies)
+    between = every.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"))
+    sizes = materialize(found.copies.groupBy("first").agg(F.count("*").alias("n")), "sizes")
+    return between.unionByName(pairs_within(join_groups(found.copies, sizes, ["first"]), ["first"]))
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
@@ -260,21 +368,13 @@ def merge_spans(spans: DataFrame) -> DataFrame:
     return isles.groupBy("doc_id", "isle").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("doc_id", "start", "end")
 
 
-def _wholes(documents: DataFrame, copies: DataFrame) -> DataFrame:
-    lengths = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.length("text").cast("bigint").alias("end"))
-    return lengths.join(copies, "doc_id").select("doc_id", "first", F.lit(0).cast("bigint").alias("start"), "end")
-
-
 def coverage(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, n_chars, shared_chars) of every document: its length and how much of it other documents share.
 
     A character counts once, if it lies in a stretch of ``least`` or more that stands in another document.  A null
     text has 0 characters.
     """
-    stretches, copies = shared_stretches(documents, least)
-    sides = stretches.select(F.col("doc_a").alias("doc_id"), F.col("start_a").alias("start"), (F.col("start_a") + F.col("length")).alias("end"))
-    sides = sides.unionByName(stretches.select(F.col("doc_b").alias("doc_id"), F.col("start_b").alias("start"), (F.col("start_b") + F.col("length")).alias("end")))
-    spans = merge_spans(sides.unionByName(_wholes(documents, copies).select("doc_id", "start", "end")))
+    spans = merge_spans(Shared(documents, least).spans())
     sums = spans.groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("shared_chars"))
     lengths = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"))
     return lengths.join(sums, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("shared_chars", F.lit(0)).cast("bigint").alias("shared_chars"))
@@ -282,9 +382,7 @@ def coverage(documents: DataFrame, least: int = LEAST) -> DataFrame:
 
 def removed_spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, start, end) in original offsets: what goes if of each passage the earliest occurrence is kept."""
-    stretches, copies = shared_stretches(documents, least)
-    later = stretches.select(F.col("doc_b").alias("doc_id"), F.col("start_b").alias("start"), (F.col("start_b") + F.col("length")).alias("end"))
-    return merge_spans(later.unionByName(_wholes(documents, copies).where("doc_id <> first").select("doc_id", "start", "end")))
+    return merge_spans(Shared(documents, least).spans().where("later"))
 
 
 _BREAKS = {"line": r"\r\n|\n|\r", "paragraph": r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*"}

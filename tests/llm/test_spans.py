@@ -48,19 +48,51 @@ def corpus():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("chunk", [S.CHUNK, 2])
-def test_pairs_and_coverage(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("pairwise, chunk", [(S.PAIRWISE, S.CHUNK), (3, 2), (0, 4)])
+def test_pairs_and_coverage(spark, monkeypatch, pairwise, chunk):
+    # with less than a group's members its windows are hashed, with 0 those of every group
+    monkeypatch.setattr(S, "PAIRWISE", pairwise)
     monkeypatch.setattr(S, "CHUNK", chunk)
     texts = corpus()
     df = spark.createDataFrame([(i, t, "x", 0) for i, t in texts], "doc_id bigint, text string, digest string, at int").repartition(5)
     pairs, grams = brute_pairs(texts)
-    stretches, copies = S.shared_stretches(df)
-    assert {tuple(r) for r in S.sharing_pairs(stretches, copies).collect()} == pairs
-    assert len(rows(S.sharing_pairs(stretches, copies))) == len(pairs)
+    assert rows(S.sharing_pairs(df)) == sorted(pairs, key=str)
     got = {r["doc_id"]: (r["n_chars"], r["shared_chars"]) for r in S.coverage(df).collect()}
-    expected = brute_coverage(texts, grams)
-    # within a run of one period a shift may leave some characters of a shared run uncovered
-    assert {k: v for k, v in got.items() if v != expected[k]} == {}
+    assert got == brute_coverage(texts, grams)
+    assert removed_chars(S.removed_spans(df)) == brute_removed(texts, grams)
+
+
+def removed_chars(df):
+    return {(r["doc_id"], i) for r in df.collect() for i in range(r["start"], r["end"])}
+
+
+def brute_removed(texts, grams):
+    return {(doc, i + k) for doc, text in texts for i in range(len(text or "") - LEAST + 1) if min(grams[text[i : i + LEAST]]) < doc for k in range(LEAST)}
+
+
+def test_footers_of_all_documents(spark, monkeypatch):
+    # a footer that is too short to be shared makes no pair; a longer one that half the documents have makes all of theirs
+    monkeypatch.setattr(S, "PAIRWISE", 8)
+    monkeypatch.setattr(S, "CHUNK", 16)
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    short, long_ = word(180), word(260)
+    texts = [(i, word(rng.randrange(120)) + (long_ if i % 2 else short) + word(i % 3 * 30)) for i in range(90)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    pairs, grams = brute_pairs(texts)
+    assert rows(S.sharing_pairs(df)) == sorted(pairs, key=str)
+    assert {r["doc_id"]: (r["n_chars"], r["shared_chars"]) for r in S.coverage(df).collect()} == brute_coverage(texts, grams)
+
+
+def test_window_digests_tell_stretches_apart():
+    import numpy as np
+
+    points = np.array([1, 2, 3, 1, 2, 3, 1, 2, 4, 0, 0, 0, 0, 0, 0, 0], np.uint32)
+    for length in (1, 3, 5, 8, 13):
+        high, low = S.window_digests(points, length)
+        stretches = [tuple(points[i : i + length]) for i in range(len(points) - length + 1)]
+        assert len(high) == len(stretches) == len(low)
+        assert len(set(zip(high, low))) == len(set(high)) == len(set(low)) == len(set(stretches))
 
 
 def test_removed_keeps_the_earliest(spark):
@@ -72,7 +104,7 @@ def test_removed_keeps_the_earliest(spark):
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
-    assert rows(S.sharing_pairs(*S.shared_stretches(df))) == []
+    assert rows(S.sharing_pairs(df)) == []
     assert rows(S.coverage(df)) == []
     assert rows(S.repeated_units(df)) == []
 
@@ -80,7 +112,7 @@ def test_empty_table(spark):
 def test_rows_without_an_id_and_repeated_rows(spark):
     text = "".join(random.Random(1).choice("abc") for _ in range(250))
     df = spark.createDataFrame([(None, text), (1, text), (1, text), (2, "x" + text), (None, None)], "doc_id bigint, text string")
-    assert set(rows(S.sharing_pairs(*S.shared_stretches(df)))) == {(1, 2)}
+    assert rows(S.sharing_pairs(df)) == [(1, 2)]
     assert rows(S.coverage(df))[0] == (1, 250, 250)
 
 
