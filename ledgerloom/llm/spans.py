@@ -5,7 +5,8 @@ default unit is cut by content: of all stretches of ``UNIT`` characters, those w
 Any stretch of ``least`` characters holds such a unit, and it holds the same ones in every document, so documents
 that share a stretch meet in the group of a digest.  The members of a small group are compared with the text around the
 unit.  Around the members of a large one (a footer, a licence) every window of ``least`` characters that holds the unit is hashed
-to 128 bits and these digests are grouped in turn, so the work is linear in the members, whatever they have in common.
+to 128 bits and these digests are grouped in turn, so the work is linear in the members, whatever they have in common; of
+``WIDE`` neighbouring windows the stretch that all of them hold is grouped first, and only where it recurs are the windows.
 
 The earliest ranked occurrence (least doc_id, then least offset) of a passage is kept, later ones are removed, with
 their original offsets.
@@ -17,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import materialize, slots
@@ -29,6 +31,8 @@ UNIT, LEAST = 96, 200
 BROADCAST_IDS = 1_000_000
 #: Members of a digest's group that are compared with one another; larger groups are settled by digests of windows.
 PAIRWISE = 128
+#: Neighbouring windows that are first tried together by what they have in common.
+WIDE = 15
 #: Members of a class of documents whose pairs are listed in one task; larger classes are listed chunk by chunk.
 CHUNK = 512
 
@@ -171,29 +175,61 @@ def _context(side: int):
 _UNIT_ROW = "doc_id bigint, at int, digest bigint, before string, unit string, after string"
 
 
-def _windows(least: int):
-    """Documents with the places of units of large groups: a row per window of ``least`` characters that holds such a unit."""
+def _core_starts(least: int):
+    """Starts of the cores around units: WIDE neighbouring windows that hold a unit have a core in common, which is the text from
+    the last one's start to the first one's end; a window that several documents have has such a core in all of them."""
+    side = least - UNIT
+    wide = min(WIDE, side + 1)
+    shifts = np.array([*range(0, side - wide + 1, wide), side - wide + 1])
+
+    def starts(at: np.ndarray, n_chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        core = at[:, None] - shifts
+        return core, (core >= 0) & (core - wide + 1 <= (n_chars - least)[:, None])
+
+    return starts
+
+
+def _window_starts(least: int):
+    """Starts of the windows that hold a core."""
+    back = np.arange(min(WIDE, least - UNIT + 1))
+
+    def starts(core: np.ndarray, n_chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        every = core[:, None] - back
+        return every, (every >= 0) & (every <= (n_chars - least)[:, None])
+
+    return starts
+
+
+def _digests(length: int, starts, chars: int = 1_000_000):
+    """Documents with places, one row per document: the digests of the stretches of ``length`` at the starts that places give.
+
+    Texts are hashed together, about ``chars`` at a time; a document has each start once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, text, places in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["places"].to_pylist()):
-                points, last = _points(text), len(text) - least
-                # windows around neighbouring units overlap; each start is taken once
-                edges = np.zeros(last + 2, np.int32)
-                at = np.array([p["at"] for p in places])
-                np.add.at(edges, np.maximum(0, at + UNIT - least), 1)
-                np.add.at(edges, np.minimum(at, last) + 1, -1)
-                inside = np.cumsum(edges[:-1]) > 0
-                turns = np.flatnonzero(np.diff(np.r_[False, inside, False]))
-                for begin, end in zip(turns[::2], turns[1::2]):
-                    for s in range(begin, end, 500_000):
-                        e = min(end, s + 500_000)
-                        high, low = window_digests(points[s : e + least - 1], least)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(e - s, doc, np.int64)), pa.array(np.arange(s, e, dtype=np.int32)), pa.array(high), pa.array(low)], names=["doc_id", "start", "high", "low"])
+            docs, texts, places = b["doc_id"].to_numpy(), b["text"].to_pylist(), b["places"].flatten().to_numpy().astype(np.int64)
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            upto = np.r_[0, np.cumsum(pa.compute.list_value_length(b["places"]).to_numpy())]
+            begins = np.cumsum(sizes) - sizes
+            cuts = np.flatnonzero(np.r_[True, np.diff(begins // chars) > 0, True])
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                owner = np.repeat(np.arange(hi - lo), np.diff(upto[lo : hi + 1]))
+                start, inside = starts(places[upto[lo] : upto[hi]], sizes[lo:hi][owner])
+                found = np.unique((owner[:, None] << 32 | start)[inside])
+                if not len(found):
+                    continue
+                owner, start = found >> 32, found & 0xFFFFFFFF
+                high, low = window_digests(_points("".join(texts[lo:hi])), length)
+                pick = (begins[lo:hi] - begins[lo])[owner] + start
+                yield pa.RecordBatch.from_arrays([pa.array(docs[lo:hi][owner]), pa.array(start.astype(np.int32)), pa.array(high[pick]), pa.array(low[pick])], names=["doc_id", "start", "high", "low"])
 
     return run
 
 
+_DIGEST_ROW = "doc_id bigint, start int, high bigint, low bigint"
+
+
 def _common(a: str, b: str) -> int:
     """Length of the common prefix."""
     n = min(len(a), len(b))
@@ -286,19 +322,26 @@ class Shared:
         groups = units.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
         groups = materialize(groups.select("digest", "n"), "groups")
         shared = materialize(join_groups(units, groups, ["digest"]).select("doc_id", "at", "digest", (F.col("n") > PAIRWISE).alias("large")), "shared")
-        self.around = self._read(docs, shared.where("not large"), _context(least - UNIT), _UNIT_ROW)
+        self.around = self._read(docs, shared.where("not large"), F.struct("at", "digest"), _context(least - UNIT), _UNIT_ROW)
         self.windows = None
         if not groups.where(F.col("n") > PAIRWISE).isEmpty():
-            every = materialize(self._read(docs, shared.where("large"), _windows(least), "doc_id bigint, start int, high bigint, low bigint"), "windows")
-            met = every.groupBy("high", "low").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n")).where("first_doc < last_doc")
-            self.windows = materialize(join_groups(every, materialize(met, "met"), ["high", "low"]).drop("n"), "windows")
+            cores = self._in_several(docs, shared.where("large").withColumnRenamed("at", "start"), least - min(WIDE, least - UNIT + 1) + 1, _core_starts(least))
+            if not cores.isEmpty():
+                self.windows = self._in_several(docs, cores, least, _window_starts(least))
+
+    @classmethod
+    def _in_several(cls, docs: DataFrame, places: DataFrame, length: int, starts) -> DataFrame:
+        """(doc_id, start, high, low, first_doc, last_doc): stretches of ``length`` at the starts that places (doc_id, start) give, if several documents have them."""
+        every = materialize(cls._read(docs, places, F.col("start"), _digests(length, starts), _DIGEST_ROW), "digests")
+        met = every.groupBy("high", "low").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n")).where("first_doc < last_doc")
+        return materialize(join_groups(every, materialize(met, "met"), ["high", "low"]).drop("n"), "windows")
 
     @staticmethod
-    def _read(docs: DataFrame, shared: DataFrame, run, schema: str) -> DataFrame:
+    def _read(docs: DataFrame, shared: DataFrame, place: Column, run, schema: str) -> DataFrame:
         """Texts are read again, for the documents of shared units only."""
         ids = shared.select("doc_id").distinct()
         texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-        places = shared.groupBy("doc_id").agg(F.collect_list(F.struct("at", "digest")).alias("places"))
+        places = shared.groupBy("doc_id").agg(F.collect_list(place).alias("places"))
         return texts.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(run, schema)
 
     def _compared(self, form: tuple) -> DataFrame:
