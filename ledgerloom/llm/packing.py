@@ -3,7 +3,8 @@
 Only lengths matter, and there are at most ``capacity`` of them, so the plan is made from a histogram whose size does
 not grow with the corpus: the longest remaining length opens a container, a bitset subset-sum over the
 remaining lengths finds the multiset that fills the rest of the window closest to capacity, and the pattern is repeated
-as often as the counts allow.  Every repetition exhausts a length, so the number of patterns is bounded too.
+as often as the counts allow: then some length has fewer copies left than the pattern takes of it.  The plan is made in
+the driver; its time follows the square of the capacity and more, not the items (0.2 s for 2,048 and 3 s for 8,192 tokens).
 Items are then numbered within their length, in parallel, and the numbers are looked up in the plan.
 """
 
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..shared import materialize
 
-#: Lanes in which items of one length are numbered, so that a length that many items have is no single task.
-LANES = 64
+#: Items of one length that are numbered in one task; a length that more items have is numbered in lanes.
+LANE_ITEMS = 1_000_000
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -79,8 +80,14 @@ def pack(sizes: DataFrame, capacity: int = 2048) -> DataFrame:
     container.  doc_id must be unique; the assignment is a function of the rows, whatever their order.
     """
     spark = sizes.sparkSession
-    items = materialize(pieces(sizes.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens")), capacity).withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(LANES)).cast("int")), "items")
-    # at most capacity x LANES rows
+    items = pieces(sizes.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens")), capacity)
+    items = materialize(items.withColumn("hash", F.xxhash64("doc_id", "piece")), "items")
+    # at most capacity rows; then as many more as there are LANE_ITEMS items
+    counts = [(r["n_tokens"], -(-r["n"] // LANE_ITEMS)) for r in items.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()]
+    lanes_of = spark.createDataFrame(counts, "n_tokens bigint, lanes bigint")
+    # lanes are stretches of the hash's range, so the order of a length's items is that of their hash
+    lane = F.least(F.col("lanes") - 1, F.floor((F.col("hash") / F.lit(2.0**64) + 0.5) * F.col("lanes"))).cast("int")
+    items = items.join(F.broadcast(lanes_of), "n_tokens").withColumn("lane", lane)
     lanes = sorted((r["n_tokens"], r["lane"], r["n"]) for r in items.groupBy("n_tokens", "lane").agg(F.count("*").alias("n")).collect())
     histogram: dict[int, int] = {}
     offsets = []
@@ -94,7 +101,7 @@ def pack(sizes: DataFrame, capacity: int = 2048) -> DataFrame:
             stretches.append((length, used.get(length, 0), copies, containers))
             used[length] = used.get(length, 0) + copies * times
         containers += times
-    numbered = items.withColumn("place", F.row_number().over(Window.partitionBy("n_tokens", "lane").orderBy("doc_id", "piece")).cast("bigint") - 1)
+    numbered = items.withColumn("place", F.row_number().over(Window.partitionBy("n_tokens", "lane").orderBy("hash", "doc_id", "piece")).cast("bigint") - 1)
     offset_table = spark.createDataFrame(offsets, "n_tokens bigint, lane int, offset bigint")
     placed = numbered.join(F.broadcast(offset_table), ["n_tokens", "lane"]).withColumn("place", F.col("place") + F.col("offset"))
     # the stretches of a length as sorted arrays: at most one per pattern, and patterns are bounded by the capacity
@@ -109,6 +116,12 @@ def pack(sizes: DataFrame, capacity: int = 2048) -> DataFrame:
     return found.select("doc_id", "piece", "start", "n_tokens", container.alias("container_id"))
 
 
+def bound_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
+    """One row: containers, the least number there can be (all tokens over the capacity, rounded up) and tokens unused."""
+    total = packed.agg(F.count_distinct("container_id").alias("containers"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
+    return total.select("containers", F.expr(f"(n_tokens + {capacity - 1}) div {capacity}").alias("least_containers"), (F.col("containers") * capacity - F.col("n_tokens")).alias("unused"))
+
+
 def fill_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     """One row per container: container_id, n_pieces, n_tokens, unused."""
     by = packed.groupBy("container_id").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"))

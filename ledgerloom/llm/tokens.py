@@ -5,7 +5,9 @@
 2. The blocks' words are shuffled by word, each distinct word is encoded once, and its ids are sent back to the blocks.
 3. A block puts the ids at their positions and gives one list per document.
 
-A word reaches the shuffle at most once per block, however often it occurs.  Decoding joins the token-byte table.
+A word reaches the shuffle at most once per block, however often it occurs, and at most BLOCKS_PER_WORD times in one task: of
+very many blocks every so many have words of their own.  Where only numbers of ids are asked for, sizes travel instead of
+ids and positions.  Decoding takes rows of the token-byte table.
 """
 
 from __future__ import annotations
@@ -14,9 +16,11 @@ import base64
 import os
 import struct
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +36,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: A block of documents ends when it holds so many characters or documents.
 BLOCK_CHARS, BLOCK_DOCS = 2_000_000, 20_000
+#: Blocks whose words are made distinct together; a word that all blocks have is no more rows than that in a task.
+BLOCKS_PER_WORD = 4096
 #: Encoded words a task gathers before it sends them to their blocks.
 SEND_WORDS = 200_000
 
@@ -58,6 +64,14 @@ class Vocabulary:
                 continue
         self.encoder = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
 
+    @cached_property
+    def raw(self) -> pa.Array:
+        """The bytes of each token by its id, null where there is none."""
+        table: list[bytes | None] = [None] * (max(self.ranks.values(), default=-1) + 1)
+        for token, rank in self.ranks.items():
+            table[rank] = token
+        return pa.array(table, pa.large_binary())
+
     @classmethod
     def of(cls, sent: Broadcast) -> Vocabulary:
         """The vocabulary of a broadcast file, built once per worker."""
@@ -106,7 +120,7 @@ def _unpack(payload: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def _cut(sent: Broadcast):
+def _cut(sent: Broadcast, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         from pyspark import TaskContext
@@ -116,7 +130,14 @@ def _cut(sent: Broadcast):
         n_blocks = 0
 
         def close() -> pa.RecordBatch:
-            payload = _pack(np.array(ids, np.int64), np.array(counts, np.int32), np.concatenate([*codes, np.zeros(0, np.int32)]))
+            flat = np.concatenate([*codes, np.zeros(0, np.int32)])
+            if whole:
+                payload = _pack(np.array(ids, np.int64), np.array(counts, np.int32), flat)
+            else:
+                before = np.r_[0, np.cumsum(flat < 0)]
+                ends = np.cumsum(np.array(counts, np.int64))
+                others = before[ends] - before[ends - counts]
+                payload = _pack(np.array(ids, np.int64), np.array(counts, np.int64) - others, others, -1 - flat[flat < 0])
             return pa.RecordBatch.from_arrays([pa.array([first + n_blocks]), pa.array([payload], pa.binary()), pa.array([words.others], pa.list_(pa.string()))], names=["block", "payload", "words"])
 
         ids, counts, codes, words, chars = [], [], [], _Words(vocabulary.words), 0
@@ -138,8 +159,8 @@ def _cut(sent: Broadcast):
     return run
 
 
-def _encode_words(sent: Broadcast):
-    """Rows (block, at, word) sorted by word; gives for each block the ids of its words."""
+def _encode_words(sent: Broadcast, whole: bool):
+    """Rows (block, at, word) sorted by word; gives for each block the ids of its words, or only how many they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Vocabulary.of(sent).encoder.encode_ordinary
@@ -155,7 +176,7 @@ def _encode_words(sent: Broadcast):
             for s, e in zip(cuts[:-1], cuts[1:]):
                 pick = order[s:e]
                 out_b.append(int(block[pick[0]]))
-                out_p.append(_pack(at[pick], size[pick], ids[_spread(starts[pick], size[pick])]))
+                out_p.append(_pack(at[pick], size[pick], ids[_spread(starts[pick], size[pick])]) if whole else _pack(at[pick], size[pick]))
             return pa.RecordBatch.from_arrays([pa.array(out_b), pa.array([0] * len(out_b), pa.int32()), pa.array(out_p, pa.binary())], names=["block", "kind", "payload"])
 
         base = 0
@@ -217,19 +238,48 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == _NO_DOC), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["doc_id", "ids"])
 
 
+def _assemble_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_assemble``, of blocks that hold per document the number of words that are tokens and the places of the others."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        for kind, payload in zip(b["kind"].to_pylist(), b["payload"]):
+            if kind == 0:
+                held.append(_unpack(payload.as_py(), np.int32, np.int32))
+                continue
+            docs, direct, n_others, others = _unpack(payload.as_py(), np.int64, np.int64, np.int64, np.int32)
+            word_size = np.zeros(sum(len(h[0]) for h in held), np.int64)
+            for at, size in held:
+                word_size[at] = size
+            held = []
+            upto, ends = np.r_[0, np.cumsum(word_size[others])], np.cumsum(n_others)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == _NO_DOC), pa.array(direct + upto[ends] - upto[ends - n_others])], names=["doc_id", "n_tokens"])
+
+
+def _through_words(documents: DataFrame, sent: Broadcast, whole: bool) -> DataFrame:
+    """(block, kind, payload) sorted by block and kind: a block's encoded words, then the block."""
+    n = slots(documents.sparkSession)
+    blocks = materialize(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_cut(sent, whole), "block bigint, payload binary, words array<string>"), "blocks")
+    words = blocks.select("block", F.posexplode("words").alias("at", "word"))
+    part = F.pmod(F.xxhash64("block"), F.lit(-(-blocks.count() // BLOCKS_PER_WORD) or 1))
+    encoded = words.repartition(n, "word", part).sortWithinPartitions("word").mapInArrow(_encode_words(sent, whole), _BLOCK)
+    parts = blocks.select("block", F.lit(1).alias("kind"), "payload").unionByName(encoded)
+    return parts.repartition(n, "block").sortWithinPartitions("block", "kind")
+
+
 def encode(documents: DataFrame, folder: str | None = None, name: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids): each document's text as ids of the vocabulary, without special tokens.
 
     Strings of special tokens in a text are ordinary text.  A null and an empty text give an empty list.  Texts may be
     of any length and are encoded whole; repeated rows give a row each, a null doc_id stays null; no rows give none.
     """
-    spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast(read_vocabulary(folder, name))
-    blocks = materialize(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_cut(sent), "block bigint, payload binary, words array<string>"), "blocks")
-    words = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    encoded = words.repartition(slots(spark), "word").sortWithinPartitions("word").mapInArrow(_encode_words(sent), _BLOCK)
-    parts = blocks.select("block", F.lit(1).alias("kind"), "payload").unionByName(encoded)
-    return parts.repartition(slots(spark), "block").sortWithinPartitions("block", "kind").mapInArrow(_assemble, "doc_id bigint, ids array<int>")
+    sent = documents.sparkSession.sparkContext.broadcast(read_vocabulary(folder, name))
+    return _through_words(documents, sent, True).mapInArrow(_assemble, "doc_id bigint, ids array<int>")
+
+
+def sizes(documents: DataFrame, folder: str | None = None, name: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens): how many ids ``encode`` gives each document, without making the lists."""
+    sent = documents.sparkSession.sparkContext.broadcast(read_vocabulary(folder, name))
+    return _through_words(documents, sent, False).mapInArrow(_assemble_sizes, "doc_id bigint, n_tokens bigint")
 
 
 def decode(encoded: DataFrame, folder: str | None = None, name: str = VOCABULARY) -> DataFrame:
@@ -241,9 +291,25 @@ def decode(encoded: DataFrame, folder: str | None = None, name: str = VOCABULARY
     sent = encoded.sparkSession.sparkContext.broadcast(read_vocabulary(folder, name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = {r: t for t, r in Vocabulary.of(sent).ranks.items()}
+        raw = Vocabulary.of(sent).raw
         for b in batches:
-            texts = [None if x is None else b"".join(map(raw.__getitem__, x)).decode("utf-8", "replace") for x in b["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
+            ids = b["ids"]
+            flat = ids.flatten()
+            if len(flat) and (pa.compute.max(flat).as_py() >= len(raw) or pa.compute.min(flat).as_py() < 0):
+                raise ValueError("an id that the vocabulary lacks")
+            taken = raw.take(flat)
+            if taken.null_count:
+                raise ValueError("an id that the vocabulary lacks")
+            # the bytes of a batch lie one after the other; a text ends where its last token does
+            ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
+            lengths = pa.compute.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
+            offsets = ends[np.r_[0, np.cumsum(lengths, dtype=np.int64)]]
+            absent = ids.is_null()
+            data = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), taken.buffers()[2]])
+            try:
+                texts = data.cast(pa.large_string())
+            except pa.ArrowInvalid:
+                texts = pa.array([x.decode("utf-8", "replace") for x in data.to_pylist()], pa.large_string())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.compute.if_else(absent, None, texts).cast(pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")

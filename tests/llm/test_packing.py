@@ -51,14 +51,19 @@ def check(sizes, packed, capacity):
     return len(load)
 
 
-def test_pack(spark):
+def test_pack(spark, monkeypatch):
     rng = random.Random(8)
     sizes = [(i, rng.choice([0, None, 1, 1, 1, rng.randrange(1, 120), rng.randrange(90, 400)])) for i in range(4000)]
     got = P.pack(spark.createDataFrame([(i, n, "x") for i, n in sizes], "doc_id bigint, n_tokens bigint, container_id string"), 100)
     containers = check(sizes, [tuple(r) for r in got.collect()], 100)
+    bound = P.bound_report(got, 100).first()
+    assert bound["containers"] == containers >= bound["least_containers"] and bound["unused"] == containers * 100 - sum(n or 0 for _, n in sizes)
     assert containers <= 1.01 * -(-sum(n or 0 for _, n in sizes) // 100) + 1
     again = P.pack(spark.createDataFrame(sizes[::-1], "doc_id bigint, n_tokens bigint").repartition(5), 100)
     assert rows(got) == rows(again)
+    # a length that half the items have is numbered in lanes; the order is that of the hash all the same
+    monkeypatch.setattr(P, "LANE_ITEMS", 100)
+    assert rows(P.pack(spark.createDataFrame(sizes, "doc_id bigint, n_tokens bigint"), 100)) == rows(got)
 
 
 @pytest.mark.parametrize("sizes", [[], [(1, 0), (2, None)], [(1, 100)], [(1, 101)], [(i, 60) for i in range(5)]])
