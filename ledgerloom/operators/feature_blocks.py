@@ -1,8 +1,9 @@
 """One wide feature row per entity from its events, built in blocks of event types.
 
-Events are combined per (entity, type) before any shuffle by entity, so a busy entity reaches a task as at most
-one row per type.  The types, hundreds of them, are numbered and cut into blocks; each block is aggregated by entity
-into one array of structs and the blocks, all hash-partitioned alike, are joined onto the complete entity table.
+The types, hundreds of them, are numbered and cut into blocks before anything is aggregated, and every event carries its
+type's block.  Events are aggregated by (block, type, address), so a busy address is combined where it lies, then by
+(block, type, entity), and written once, a directory per block.  Each block is read by itself, made one array of structs per
+entity and joined, hash-partitioned like the others, onto the complete entity table.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..keys import clean_address, clean_id
 from ..shared import materialize, slots
-from ..skew import lookup
+from ..skew import dense_dictionary, lookup
 
-#: Event types per block; the width of a block's array is bounded by it.
-TYPES_PER_BLOCK = 128
+#: Event types per block, and blocks there are at most: with more types than both allow, blocks are wider.
+TYPES_PER_BLOCK, MAX_BLOCKS = 128, 16
 
 FEATURE = "event_type, n, last_ts, last_txid, total_out, fee"
 
@@ -32,18 +33,32 @@ def address_entities(entities: DataFrame) -> DataFrame:
     return clean.where("address is not null and entity_id is not null").groupBy("address").agg(F.min("entity_id").alias("entity_id"))
 
 
-def type_counts(tx: DataFrame, entities: DataFrame) -> DataFrame:
-    """Per (entity_id, event_type): n, last_ts, last_txid, total_out and fee (sums without nulls, null if all are)."""
+def _event_type() -> Column:
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.concat_ws(":", "script_type", number("n_inputs"), number("n_outputs"))
+
+
+def type_blocks(tx: DataFrame) -> tuple[DataFrame, int]:
+    """(event_type, block) of all types of the ledger, numbered in their order, and the number of blocks (1 at least)."""
+    types = tx.where("script_type is not null").select(_event_type().alias("event_type")).distinct()
+    numbered, n = dense_dictionary(types, "event_type", ordered=True)
+    width = max(TYPES_PER_BLOCK, -(-n // MAX_BLOCKS))
+    return materialize(numbered.select("event_type", (F.col("id") / width).cast("int").alias("block")), "types"), max(1, -(-n // width))
+
+
+def block_counts(tx: DataFrame, entities: DataFrame) -> tuple[DataFrame, int]:
+    """Per (block, event_type, entity_id): n, last_ts, last_txid, total_out and fee (sums without nulls, null if all are); the
+    table is written by block.  Also the number of blocks."""
+    blocks, n_blocks = type_blocks(tx)
     first: Column = clean_address("first_input")
     events = transactions(tx).where("ts_micro is not null and script_type is not null").withColumn("address", first)
-    events = events.where("address is not null").select(
-        "txid", "ts_micro", "address", F.concat_ws(":", "script_type", F.coalesce(F.col("n_inputs").cast("string"), F.lit("")), F.coalesce(F.col("n_outputs").cast("string"), F.lit(""))).alias("event_type"), "total_out", "fee"
-    )
-    # an address may be very busy: its events are combined before they meet the entity table
-    combined = events.groupBy("address", "event_type").agg(*_combine(F.lit(1), F.struct("ts_micro", "txid"), F.col("total_out"), F.col("fee")))
+    events = events.where("address is not null").select("txid", "ts_micro", "address", _event_type().alias("event_type"), "total_out", "fee")
+    events = lookup(events, "event_type", blocks, blocks.count(), "block")
+    combined = events.groupBy("block", "event_type", "address").agg(*_combine(F.lit(1), F.struct("ts_micro", "txid"), F.col("total_out"), F.col("fee")))
     named = combined.join(address_entities(entities), "address")
-    again = named.groupBy("entity_id", "event_type").agg(*_combine(F.col("n"), F.col("last"), F.col("total_out"), F.col("fee")))
-    return again.select("entity_id", "event_type", "n", F.col("last.ts_micro").alias("last_ts"), F.col("last.txid").alias("last_txid"), "total_out", "fee")
+    again = named.groupBy("block", "event_type", "entity_id").agg(*_combine(F.col("n"), F.col("last"), F.col("total_out"), F.col("fee")))
+    counts = again.select("entity_id", "event_type", "n", F.col("last.ts_micro").alias("last_ts"), F.col("last.txid").alias("last_txid"), "total_out", "fee", "block")
+    return materialize(counts, "block-counts", by="block"), n_blocks
 
 
 def _combine(n: Column, last: Column, total_out: Column, fee: Column) -> list[Column]:
@@ -57,19 +72,12 @@ def entity_features(tx: DataFrame, entities: DataFrame) -> tuple[DataFrame, int]
     total_out, fee), null for an entity without an event of the block.  Every entity_id of ``entities`` has one row,
     also one without events; null and blank ids have none.  Empty inputs give an empty table or null blocks.
     """
-    spark = tx.sparkSession
-    parts = slots(spark)
-    counts = materialize(type_counts(tx, entities), "type-counts")
-    # types are bounded by the ledger's rules (script types and numbers of inputs and outputs), not by its rows
-    types = [r[0] for r in counts.select("event_type").distinct().collect()]
-    types.sort()
-    numbered = spark.createDataFrame([(t, i // TYPES_PER_BLOCK) for i, t in enumerate(types)], "event_type string, block int")
-    n_blocks = max(1, -(-len(types) // TYPES_PER_BLOCK))
-    blocked = lookup(counts, "event_type", numbered, len(types), "block")
-    blocked = materialize(blocked, "typed")
+    parts = slots(tx.sparkSession)
+    counts, n_blocks = block_counts(tx, entities)
     wide = entities.select(clean_id("entity_id").alias("entity_id")).where("entity_id is not null").distinct().repartition(parts, "entity_id")
     for b in range(n_blocks):
-        block = blocked.where(F.col("block") == b).repartition(parts, "entity_id").groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct(*FEATURE.split(", ")))).alias(f"block_{b}"))
+        # only the block's own directory is read
+        block = counts.where(F.col("block") == b).repartition(parts, "entity_id").groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct(*FEATURE.split(", ")))).alias(f"block_{b}"))
         wide = wide.join(block, "entity_id", "left")
     return wide, n_blocks
 

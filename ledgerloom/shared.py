@@ -46,10 +46,10 @@ def _one_process(master: str) -> bool:
     return master == "local" or master.startswith("local[")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a zstd Parquet table in the shared folder and return a scan of it."""
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a zstd Parquet table in the shared folder, a directory per value of its last column ``by``, and return a scan of it."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
