@@ -5,6 +5,9 @@ MIN_INPUTS = 3
 MIN_OUTPUTS = 3
 MIN_EQUAL_OUTPUTS = 3
 
+# The texts that say why a transaction counts as mixing or does not
+MIXING_REASONS = ["%d inputs, %d outputs: too small", "largest equal-value group is %d, need %d", "%d outputs of %.8f BTC across %d inputs"]
+
 # Change scoring
 WEIGHT_RAGGED = 0.40
 WEIGHT_FRESH = 0.30
@@ -50,6 +53,15 @@ TOP_FACTORS = 5
 RISK_BANDS = [(0.80, "Critical"), (0.50, "High"), (0.25, "Elevated")]
 LOWEST_BAND = "Low"
 
+# The lines of the stage report (stage, tables, summary)
+STAGE_REPORT = [
+    ("Ingest", "tx_l1 + net_l2", "%s transactions, %s network sightings"),
+    ("Clustering", "clusters + tx_flags", "%s clusters, %s CoinJoins filtered"),
+    ("Graph", "entities + chains", "%s entities, %s chains recovered"),
+    ("Fusion", "leads", "%s significant attributions of %s scored"),
+    ("Models", "scores", "%s entities scored, %s flagged as anomalous"),
+]
+
 # Features by group, in order
 FEATURE_GROUPS = {
     "volume": ["n_transactions", "n_addresses", "tx_per_active_day", "total_out", "n_received"],

@@ -11,7 +11,7 @@ from ..shared import materialize
 from ..skew import dealt
 
 
-def leads(observations: DataFrame, of_tx: DataFrame, min_transactions: int = K.MIN_TRANSACTIONS) -> DataFrame:
+def leads(observations: DataFrame, of_tx: DataFrame, min_transactions: int = K.MIN_TRANSACTIONS, significance: float = K.SIGNIFICANCE) -> DataFrame:
     """One row per tested pair of an entity and a host.
 
     ``observations``: txid, src_ip, arrival_rank, asn, country; ``of_tx``: txid, entity_id.  A pair is tested if the
@@ -32,7 +32,7 @@ def leads(observations: DataFrame, of_tx: DataFrame, min_transactions: int = K.M
     n = priced.count()
     adjusted = F.least(F.lit(1.0), F.col("p_value") * F.lit(float(n)))
     out = priced.withColumn("adjusted_p", adjusted).withColumn("confidence", 1.0 - F.col("adjusted_p"))
-    significant = (F.col("transactions") >= K.MIN_TRANSACTIONS) & (F.col("adjusted_p") <= K.SIGNIFICANCE)
+    significant = (F.col("transactions") >= K.MIN_TRANSACTIONS) & (F.col("adjusted_p") <= significance)
     return out.select(
         "entity_id", F.col("src_ip").alias("ip"), F.col("meta.asn").alias("asn"), F.col("meta.country").alias("country"), "hits", "transactions", "rank_weight", "baseline", "p_value", "adjusted_p", "confidence", significant.alias("significant"), "first_at", F.lit(n).cast("bigint").alias("tests")
     )

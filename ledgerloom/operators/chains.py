@@ -53,7 +53,11 @@ def walks(next_of: DataFrame) -> DataFrame:
     return rows
 
 
-def detect(tx: DataFrame, min_length: int = K.MIN_CHAIN_LENGTH) -> DataFrame:
+#: From how many hops, up to which median peel and which spread of peels a chain is laundering-like.
+LAUNDERING = (K.LAUNDERING_MIN_HOPS, K.LAUNDERING_MAX_MEDIAN_PEEL, K.LAUNDERING_MAX_SPREAD)
+
+
+def detect(tx: DataFrame, min_length: int = K.MIN_CHAIN_LENGTH, laundering: tuple[int, float, float] = LAUNDERING) -> DataFrame:
     """One row per chain and hop: chain_id, start, hop, txid, carried_address, hops, peeled_sats, median_peel,
     peel_spread, laundering_like.  ``tx`` has one row per txid.
 
@@ -73,7 +77,7 @@ def detect(tx: DataFrame, min_length: int = K.MIN_CHAIN_LENGTH) -> DataFrame:
     spread = F.when(n < 2, 1.0).otherwise(F.array_max("shares") - F.array_min("shares"))
     by = by.select("start", "peeled_sats", median.alias("median_peel"), spread.alias("peel_spread"))
     out = priced.join(by, "start")
-    like = (F.col("hops") >= K.LAUNDERING_MIN_HOPS) & (F.col("median_peel") <= K.LAUNDERING_MAX_MEDIAN_PEEL) & (F.col("peel_spread") <= K.LAUNDERING_MAX_SPREAD)
+    like = (F.col("hops") >= laundering[0]) & (F.col("median_peel") <= laundering[1]) & (F.col("peel_spread") <= laundering[2])
     carried = F.when(F.col("hop") < F.col("hops") - 1, F.col("carried_address"))
     return out.select(F.concat(F.lit("CH-"), F.substring("start", 1, 10)).alias("chain_id"), "start", "hop", "txid", carried.alias("carried_address"), "hops", "peeled_sats", "median_peel", "peel_spread", like.alias("laundering_like"))
 

@@ -65,7 +65,8 @@ def budgeted_merge(tx: DataFrame, flags: DataFrame, groups: DataFrame) -> DataFr
     A merge joins the first input's group and the change address's if the call is corroborated and confident
     enough, and either the product of the two sizes is within the budget or the confidence is high.  Sizes
     change with every merge, so the merges of groups that can reach each other are replayed in order of time, in
-    one task per such set; different sets run in parallel.
+    one task per such set; different sets run in parallel.  Sizes only grow, so a call that is too large for the budget from the
+    start and not confident enough is dropped before sets are formed; what a set is made of is calls that could merge.
     """
     calls = flags.where((~F.col("is_coinjoin")) & F.col("change_address").isNotNull() & F.col("change_corroborated") & (F.col("change_confidence") >= K.MIN_MERGE_CONFIDENCE))
     made = tx.select("txid", "ts_micro", F.get("input_addresses", F.lit(0)).alias("first")).where("first is not null").join(calls.select("txid", "change_address", "change_confidence"), "txid")
@@ -74,6 +75,7 @@ def budgeted_merge(tx: DataFrame, flags: DataFrame, groups: DataFrame) -> DataFr
     left = by.select(F.col("address").alias("first"), F.col("group").alias("a"), F.col("n").alias("n_a"))
     right = by.select(F.col("address").alias("change_address"), F.col("group").alias("b"), F.col("n").alias("n_b"))
     edges = materialize(made.join(left, "first").join(right, "change_address").where("a <> b").select("txid", "ts_micro", "a", "b", "n_a", "n_b", "change_confidence"), "merges")
+    edges = edges.where((F.col("n_a") * F.col("n_b") <= K.MERGE_BUDGET) | (F.col("change_confidence") >= K.MERGE_ANYWAY_CONFIDENCE))
     ends = edges.select(F.col("a").alias("name")).union(edges.select(F.col("b").alias("name")))
     sets = group_names(edges.select("a", "b"), ends).select(F.col("name").alias("a"), F.col("group").alias("set"))
     merged = edges.join(sets, "a").groupBy("set").applyInPandas(lambda f: _replay(f), "`group` string, merged string")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 
 
-def classify(tx: DataFrame) -> DataFrame:
+def classify(tx: DataFrame, min_inputs: int = K.MIN_INPUTS, min_outputs: int = K.MIN_OUTPUTS, min_equal: int = K.MIN_EQUAL_OUTPUTS) -> DataFrame:
     """(txid, is_coinjoin, equal_count, denomination, coinjoin_reason) for rows with input_addresses and output_amounts.
 
     The denomination is the most frequent output amount, the first of equally frequent ones.  A null array counts as empty.
@@ -20,12 +20,13 @@ def classify(tx: DataFrame) -> DataFrame:
     values = F.array_distinct("output_amounts")
     groups = F.transform(values, lambda v, i: F.struct(F.size(F.filter("output_amounts", lambda x: x.eqNullSafe(v))).alias("n"), (-i).alias("at"), v.alias("value")))
     tx = tx.select("txid", n_in.alias("n_in"), n_out.alias("n_out"), F.array_max(groups).alias("top"))
-    small = (F.col("n_in") < K.MIN_INPUTS) | (F.col("n_out") < K.MIN_OUTPUTS)
-    few = F.col("top.n") < K.MIN_EQUAL_OUTPUTS
+    small = (F.col("n_in") < min_inputs) | (F.col("n_out") < min_outputs)
+    few = F.col("top.n") < min_equal
+    too_small, too_few, mixes = K.MIXING_REASONS
     reason = (
-        F.when(small, F.format_string("%d inputs, %d outputs: too small", "n_in", "n_out"))
-        .when(few, F.format_string(f"largest equal-value group is %d, need {K.MIN_EQUAL_OUTPUTS}", "top.n"))
-        .otherwise(F.format_string("%d outputs of %.8f BTC across %d inputs", "top.n", F.col("top.value") / 1e8, "n_in"))
+        F.when(small, F.format_string(too_small, "n_in", "n_out"))
+        .when(few, F.format_string(too_few, "top.n", F.lit(min_equal)))
+        .otherwise(F.format_string(mixes, "top.n", F.col("top.value") / 1e8, "n_in"))
     )
     return tx.select(
         "txid",

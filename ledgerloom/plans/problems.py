@@ -67,6 +67,12 @@ def p4_valid(spark: SparkSession, d: str) -> DataFrame:
     return quarantine.valid_rows(table(spark, d, "raw_observations"), table(spark, d, "raw_layout"))
 
 
+def p4_typed(spark: SparkSession, d: str) -> DataFrame:
+    """The valid rows with their lists written out, an amount that is none as ``?``."""
+    rows = p4_valid(spark, d)
+    return rows.select(*(F.array_join(F.col(c).cast("array<string>"), ";", "?").alias(c) if kind.startswith("array") else F.col(c) for c, kind in rows.dtypes))
+
+
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return quarantine.reason_counts(table(spark, d, "raw_observations"), table(spark, d, "raw_layout"))
 
@@ -80,7 +86,7 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_entity_counts, p1_host_counts, p2_found, p3_found, p3_features, p3_entities, p4_found, p4_valid, p4_counts, p5_found, p5_counts)
+    f.__name__: f for f in (p1_found, p1_entity_counts, p1_host_counts, p2_found, p3_found, p3_features, p3_entities, p4_found, p4_valid, p4_typed, p4_counts, p5_found, p5_counts)
 }
 
 
@@ -109,8 +115,24 @@ with tx as (
 _FORM = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,9})?(Z|[+-][0-9]{2}:[0-9]{2})$"
 
 
+def _digits_sql(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(split_part({x}, '.', 1), '[+-]', '') || rpad(split_part({x}, '.', 2), 8, '0'), '^0+', '')"
+
+
+def _sats_sql(x: str) -> str:
+    return f"case when {_amount_sql(x)} then cast(if({x}[1] = '-', -1, 1) * cast('0' || {_digits_sql(x)} as hugeint) as bigint) end"
+
+
+def _amounts_sql(x: str) -> str:
+    return f"case when {x} = '' then '' else array_to_string(list_transform(string_split({x}, ';'), lambda a: coalesce({_sats_sql("trim(a, ' ')")}::varchar, '?')), ';') end"
+
+
+def _port_sql(x: str) -> str:
+    return f"case when regexp_full_match({x}, '[0-9]+') and coalesce(try_cast({x} as hugeint), 65536) <= 65535 then {x}::int end"
+
+
 def _amount_sql(x: str) -> str:
-    digits = rf"regexp_replace(regexp_replace(split_part({x}, '.', 1), '[+-]', '') || rpad(split_part({x}, '.', 2), 8, '0'), '^0+', '')"
+    digits = _digits_sql(x)
     return rf"(regexp_full_match({x}, '[+-]?([0-9]+(\.[0-9]{{0,8}})?|\.[0-9]{{1,8}})') and case when length({digits}) < 19 then true when length({digits}) > 19 then false else {digits} <= if({x}[1] = '-', '9223372036854775808', '9223372036854775807') end)"
 
 
@@ -179,6 +201,14 @@ SQL: dict[str, str] = {
     + f"""select e.entity_id, count(event_type) as n_types, cast(coalesce(sum(n), 0) as bigint) as n_events
       from (select distinct {_id('entity_id')} as entity_id from entities where {_id('entity_id')} is not null) e left join counts using (entity_id) group by 1""",
     "p4_found": _JUDGED + "select line_id, reason from judged where reason is not null",
+    "p4_typed": _JUDGED
+    + rf"""select line_id, epoch_us(strptime(left(t, 19), '%Y-%m-%dT%H:%M:%S')) + rpad(left(regexp_extract(t, '\.([0-9]+)', 1), 6), 6, '0')::bigint
+        - if(t[-1] = 'Z', 0, (t[-5:-4]::bigint * 60 + t[-2:]::bigint) * 60000000 * if(t[-6] = '-', -1, 1)) as timestamp,
+      c[2] as src_ip, {_port_sql('c[3]')} as src_port, c[4] as dst_ip, {_port_sql('c[5]')} as dst_port, c[6] as txid,
+      array_to_string(list_transform(string_split(c[7], ';'), lambda a: trim(a, ' ')), ';') as input_addresses, array_to_string(list_transform(string_split(c[8], ';'), lambda a: trim(a, ' ')), ';') as output_addresses,
+      {_amounts_sql('c[9]')} as input_amounts, {_amounts_sql('c[10]')} as output_amounts, {_sats_sql('c[11]')} as fee, c[12] as script_type, c[13] as geo_country,
+      case when regexp_full_match(c[14], '[+-]?[0-9]+') then try_cast(c[14] as bigint) end as asn
+      from (select line_id, c, if(reason is null, c[1], null) as t, reason from judged) where reason is null""",
     "p4_counts": _JUDGED + "select coalesce(reason, 'valid') as reason, count(*) as n from judged group by 1",
     "p5_found": _UNMET + "select * from found",
     "p5_counts": _UNMET + "select table_name, field_name, load_month, absence, count(*) as n from found group by 1, 2, 3, 4",

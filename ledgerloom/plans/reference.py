@@ -54,19 +54,33 @@ def _tx_entity(s: SparkSession, d: str) -> DataFrame:
     return graph.tx_entity(_tx(s, d).select("txid", F.array(clean_address(F.get("input_addresses", F.lit(0)))).alias("input_addresses")), _owners(s, d))
 
 
-def _flags(s: SparkSession, d: str) -> DataFrame:
-    return mixing.classify(_tx(s, d))
+#: Thresholds under which small tables hold positive and negative cases of mixing, chains and leads; queries named ..._low use them.
+LOW = {"MIN_EQUAL_OUTPUTS": 1, "MIN_CHAIN_LENGTH": 2, "LAUNDERING_MIN_HOPS": 2, "LAUNDERING_MAX_MEDIAN_PEEL": 0.2, "LAUNDERING_MAX_SPREAD": 0.2, "SIGNIFICANCE": 0.5}
 
 
-def _chains(s: SparkSession, d: str) -> DataFrame:
-    return chains.with_entities(chains.detect(materialize(_tx(s, d).select("txid", "ts_micro", "input_addresses", "output_addresses", "output_amounts", "n_inputs", "n_outputs"), "tx")), _owners(s, d))
+def _mixing(tx: DataFrame, low: bool = False) -> DataFrame:
+    return mixing.classify(tx, min_equal=LOW["MIN_EQUAL_OUTPUTS"]) if low else mixing.classify(tx)
 
 
-def _store(s: SparkSession, d: str, with_chains: bool = False) -> Store:
+def _flags(s: SparkSession, d: str, low: bool = False) -> DataFrame:
+    return _mixing(_tx(s, d), low)
+
+
+def _detected(tx: DataFrame, low: bool = False) -> DataFrame:
+    laundering = LOW["LAUNDERING_MIN_HOPS"], LOW["LAUNDERING_MAX_MEDIAN_PEEL"], LOW["LAUNDERING_MAX_SPREAD"]
+    return chains.detect(tx, LOW["MIN_CHAIN_LENGTH"], laundering) if low else chains.detect(tx)
+
+
+def _chains(s: SparkSession, d: str, low: bool = False) -> DataFrame:
+    tx = materialize(_tx(s, d).select("txid", "ts_micro", "input_addresses", "output_addresses", "output_amounts", "n_inputs", "n_outputs"), "tx")
+    return chains.with_entities(_detected(tx, low), _owners(s, d))
+
+
+def _store(s: SparkSession, d: str, with_chains: bool = False, low: bool = False) -> Store:
     """Tables of the store; those that a query does not touch are never read."""
     owners = table(s, d, "entities").select(clean_address("address").alias("address"), clean_id("entity_id").alias("entity_id"), clean_id("cluster_id").alias("cluster_id")).where("address is not null and entity_id is not null")
     owners = owners.groupBy("address").agg(F.min("entity_id").alias("entity_id"), F.min("cluster_id").alias("cluster_id"))
-    return Store(_tx(s, d), _l2(s, d), owners, _chains(s, d) if with_chains else None, _flags(s, d), latest(table(s, d, "leads"), "entity_id"), latest(table(s, d, "scores"), "entity_id"), graph.first_writing(table(s, d, "graph_nodes")), table(s, d, "graph_edges").distinct())
+    return Store(_tx(s, d), _l2(s, d), owners, _chains(s, d, low) if with_chains else None, _flags(s, d, low), latest(table(s, d, "leads"), "entity_id"), latest(table(s, d, "scores"), "entity_id"), graph.first_writing(table(s, d, "graph_nodes")), table(s, d, "graph_edges").distinct())
 
 
 def _busiest(store: Store) -> str:
@@ -177,10 +191,10 @@ def chain_steps(s, d):
     return chains.consecutive(_chains(s, d))
 
 
-def folded_entities(s, d):
+def folded_entities(s, d, low=False):
     tx = materialize(_tx(s, d), "tx")
-    groups = materialize(cospend.cospend_groups(tx, mixing.classify(tx)), "groups")
-    return entities.fold(groups, chains.detect(tx))
+    groups = materialize(cospend.cospend_groups(tx, _mixing(tx, low)), "groups")
+    return entities.fold(groups, _detected(tx, low))
 
 
 def money_flow(s, d):
@@ -390,6 +404,59 @@ def pipeline_stats(s, d):
 def attributed_hosts(s, d):
     return _store(s, d).attributed()
 
+# with low thresholds
+
+
+def coinjoin_flags_low(s, d):
+    return _flags(s, d, True)
+
+
+def coinjoins_low(s, d):
+    return _store(s, d, low=True).coinjoins()
+
+
+def peel_chains_low(s, d):
+    return _chains(s, d, True)
+
+
+def chain_steps_low(s, d):
+    return chains.consecutive(_chains(s, d, True))
+
+
+def folded_entities_low(s, d):
+    return folded_entities(s, d, True)
+
+
+def best_leads_low(s, d):
+    found = attribution.leads(_sightings(s, d), _tx_entity(s, d), significance=LOW["SIGNIFICANCE"])
+    return attribution.best_per_entity(found).select("entity_id", "ip", "hits", "transactions", "significant")
+
+
+def alerts_low(s, d):
+    return _store(s, d, True, True).alerts()
+
+
+def alerts_laundering_low(s, d):
+    return _store(s, d, True, True).filtered_alerts(laundering=True).select("entity_id", "risk_score", "chain_hops", "laundering_like")
+
+
+def entity_chains_low(s, d):
+    """Chains of the entity with the longest one."""
+    st = _store(s, d, True, True)
+    first = st.chains.where("hop = 0 and entity_id is not null").orderBy(F.desc("hops"), "start").limit(1).collect()
+    return st.entity_chains(first[0]["entity_id"] if first else "")
+
+
+def chain_list_low(s, d):
+    return _store(s, d, True, True).chain_list()
+
+
+def chain_hops_low(s, d):
+    st = _store(s, d, True, True)
+    first = st.chain_list().limit(1).collect()
+    return st.chain_hops(first[0]["chain_id"] if first else "")
+
+
 # models
 
 
@@ -447,6 +514,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         origin_leads, best_leads, geo_concentration, permutation_null, entity_features, majority_cluster, pairwise_scores, risk_metrics,
         alerts, alerts_filtered, risk_factors, entity_addresses, entity_transactions, entity_chains, entity_candidates, entity_observations, subgraph_nodes, subgraph_edges, subgraph_elements,
         summary_totals, geo_rollup, risk_bands, countries, networks_topk, hourly_activity, hourly_long, chain_list, longest_chain, chain_hops, coinjoins, pipeline_stats, attributed_hosts,
+        coinjoin_flags_low, coinjoins_low, peel_chains_low, chain_steps_low, folded_entities_low, best_leads_low, alerts_low, alerts_laundering_low, entity_chains_low, chain_list_low, chain_hops_low,
         forest_scores, forest_importances, forest_metrics, forest_ablation, forest_null, forest_stability, isolation_scores, shap_factors, score_table,
     )
 }

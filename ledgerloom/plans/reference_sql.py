@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from .. import constants as K
-from ..operators.change import score_table
 from .problems import _address, _id
-from .reference import RANGES
+from .reference import LOW, RANGES
 
 
-def _with(*names: str, recursive: bool = False) -> str:
-    """The common tables ``names`` with all they build on."""
+def _with(*names: str, recursive: bool = False, low: bool = False) -> str:
+    """The common tables ``names`` with all they build on, with low thresholds or the fixed ones."""
+    tables = _LOW_TABLES if low else _TABLES
     need: list[str] = []
 
     def add(name: str) -> None:
@@ -21,7 +23,7 @@ def _with(*names: str, recursive: bool = False) -> str:
     for n in names:
         add(n)
     head = "with recursive " if recursive or any(n in _RECURSIVE for n in need) else "with "
-    return head + ",\n".join(f"{_NAME.get(n, n)} as ({_TABLES[n]})" for n in need) + "\n"
+    return head + ",\n".join(f"{_NAME.get(n, n)} as ({tables[n]})" for n in need) + "\n"
 
 
 _BAND = "case " + " ".join(f"when risk_score >= {least} then '{name}'" for least, name in K.RISK_BANDS) + f" else '{K.LOWEST_BAND}' end"
@@ -38,78 +40,107 @@ def _latest(t: str) -> str:
       from (select *, {_id('entity_id')} as k from {t}) where k is not null) where _n = 1"""
 
 
-_TABLES = {
-    "tx": "select distinct * from tx_l1 where txid is not null",
-    "l2": "select distinct * from net_l2",
-    "sight": f"select distinct txid, {_id('src_ip')} as src_ip, arrival_rank, asn, geo_country as country from net_l2",
-    "owners": f"select {_address('address')} as address, min({_id('entity_id')}) as entity_id from entities where {_address('address')} is not null and {_id('entity_id')} is not null group by 1",
-    "owned": f"select {_address('address')} as address, min({_id('entity_id')}) as entity_id, min({_id('cluster_id')}) as cluster_id from entities where {_address('address')} is not null and {_id('entity_id')} is not null group by 1",
-    "txent": f"select txid, entity_id from tx join owners on owners.address = {_address('tx.input_addresses[1]')}",
-    "scored": _latest("scores"),
-    "led": _latest("leads"),
-    "nodes1": "select * exclude _n from (select *, row_number() over (partition by id order by loaded_at nulls last, label, name nulls last, weight nulls last) as _n from graph_nodes) where _n = 1",
-    "mix0": "select txid, len(input_addresses) as n_in, len(output_amounts) as n_out, output_amounts as a from tx",
-    "mix1": "select txid, n_in, n_out, list_aggregate(list_transform(list_distinct(a), lambda v: struct_pack(n := len(list_filter(a, lambda x: x = v)), place := -list_position(a, v), value := v)), 'max') as top from mix0",
-    "flags": f"""select txid, n_in >= {K.MIN_INPUTS} and n_out >= {K.MIN_OUTPUTS} and top.n >= {K.MIN_EQUAL_OUTPUTS} as is_coinjoin,
-      case when n_in < {K.MIN_INPUTS} or n_out < {K.MIN_OUTPUTS} then 0 else top.n end as equal_count,
-      case when n_in >= {K.MIN_INPUTS} and n_out >= {K.MIN_OUTPUTS} and top.n >= {K.MIN_EQUAL_OUTPUTS} then top.value end as denomination,
-      case when n_in < {K.MIN_INPUTS} or n_out < {K.MIN_OUTPUTS} then printf('%d inputs, %d outputs: too small', n_in, n_out)
-        when top.n < {K.MIN_EQUAL_OUTPUTS} then printf('largest equal-value group is %d, need {K.MIN_EQUAL_OUTPUTS}', top.n)
-        else printf('%d outputs of %.8f BTC across %d inputs', top.n, top.value / 1e8, n_in) end as coinjoin_reason from mix1""",
-    "uses": "select unnest(input_addresses) as address, txid, ts_micro, true as spends from tx where ts_micro is not null union all select unnest(output_addresses), txid, ts_micro, false from tx where ts_micro is not null",
-    "seen": "select address, min(struct_pack(t := ts_micro, x := txid)) as seen, min(ts_micro) filter (spends) as spent_at from uses group by 1",
-    "outs2": "select txid, ts_micro, script_type, unnest([0, 1]) as place, unnest(output_addresses) as address, unnest(output_amounts) as amount from tx where len(output_addresses) = 2 and ts_micro is not null",
-    "scored2": f"""select o.txid, place, o.address, amount % {K.ROUND_UNIT} <> 0 as ragged, [{', '.join(f'{x!r}::double' for x in score_table())}][1
-        + if(seen.t = ts_micro and seen.x = o.txid, 1, 0) + if(amount % {K.ROUND_UNIT} <> 0, 2, 0)
-        + if(coalesce((case {' '.join(f"when starts_with(o.address, '{p}') then '{s}'" for p, s in K.SCRIPT_PREFIXES)} else '{K.UNKNOWN_SCRIPT}' end) = script_type, false), 4, 0)
-        + if(coalesce(spent_at - ts_micro between 0 and {K.SPENT_SOON_MICROS}, false), 8, 0)] as score
-      from outs2 o join seen on seen.address = o.address""",
-    "pair2": "select a.txid, abs(a.score - b.score) as margin, if(a.score >= b.score, 0, 1) as best, a.address as a0, b.address as a1, a.ragged as r0, b.ragged as r1 from scored2 a join scored2 b on a.txid = b.txid and a.place = 0 and b.place = 1",
-    "guess": f"""select tx.txid, case when margin >= {K.MIN_MARGIN} then best end::bigint as change_index, case when margin >= {K.MIN_MARGIN} then if(best = 0, a0, a1) end as change_address,
-      coalesce(margin, 0.0)::double as change_confidence, coalesce(if(best = 0, r0, r1), false) as change_corroborated from tx left join pair2 using (txid)""",
-    "vertices": "select distinct address from (select unnest(input_addresses) as address from tx union all select unnest(output_addresses) from tx)",
-    "links": "select distinct input_addresses[1] as x, unnest(input_addresses) as y from tx join flags using (txid) where not is_coinjoin",
-    "tied": "select x, y from links union select y, x from links union select address, address from vertices",
-    "cosp": "select x, y from tied union select cosp.x, tied.y from cosp join tied on cosp.y = tied.x",
-    "groups": 'select x as address, min(y) as "group" from cosp group by 1',
-    "peel": "select txid, ts_micro, output_addresses as oa, output_amounts as am, list_sum(output_amounts) as total from tx where n_inputs = 1 and n_outputs = 2",
-    "spender": "select address, min(struct_pack(t := ts_micro, x := txid)).x as next_txid from uses where spends group by 1",
-    "peelout": "select txid, total, unnest(oa) as address, unnest(am) as amount from peel",
-    "best": "select o.txid, o.total, max(struct_pack(m := amount, a := o.address, n := next_txid)) as b from peelout o join spender using (address) where next_txid in (select txid from peel) group by 1, 2",
-    "succ": f"select txid, b.a as carried_address, b.n as next_txid from best where total > 0 and b.m / total >= {K.MIN_CARRY_SHARE}",
-    "walk": """select txid as start, 0 as hop, txid, [txid] as path from succ where txid not in (select next_txid from succ)
-      union all select start, hop + 1, next_txid, list_append(path, next_txid) from walk join succ using (txid) where not list_contains(path, next_txid)""",
-    "hopcount": f"select start, count(*) as hops from walk group by 1 having count(*) >= {K.MIN_CHAIN_LENGTH}",
-    "hopped": "select w.start, w.hop, w.txid, h.hops, list_sum(t.output_amounts) as total, list_min(t.output_amounts) as peel, s.carried_address from walk w join hopcount h using (start) join tx t using (txid) left join succ s using (txid)",
-    "priced": "select start, sum(peel) as peeled, list_sort(list(peel / total) filter (total > 0)) as shares from hopped group by 1",
-    "chain0": f"""select 'CH-' || h.start[1:10] as chain_id, h.start, h.hop::bigint as hop, h.txid, case when h.hop < h.hops - 1 then h.carried_address end as carried_address, h.hops,
-      p.peeled::bigint as peeled_sats, coalesce(shares[len(shares) // 2 + 1], 0.0) as median_peel, case when len(shares) < 2 then 1.0 else list_max(shares) - list_min(shares) end as peel_spread
-      from hopped h join priced p using (start)""",
-    "chain1": f"select *, hops >= {K.LAUNDERING_MIN_HOPS} and median_peel <= {K.LAUNDERING_MAX_MEDIAN_PEEL} and peel_spread <= {K.LAUNDERING_MAX_SPREAD} as laundering_like from chain0",
-    "chain": "select c.*, e.entity_id from chain1 c left join (select start, carried_address from chain1 where hop = 0) f using (start) left join owners e on e.address = f.carried_address",
-    "heads": "select * from chain where hop = 0",
-    "flow": """select source, target, sum(amount)::bigint as amount, count(*) as observations from (select e.entity_id as source, unnest(output_addresses) as address, unnest(output_amounts) as amount from tx join txent e using (txid)) f
-      join (select address, entity_id as target from owners) o using (address) where source <> target group by 1, 2""",
-    "seenfrom": "select entity_id, src_ip, min(asn) as asn, min(country) as geo_country, count(*) as n from sight join txent using (txid) where arrival_rank = 1 and src_ip is not null group by 1, 2",
-    "hosts": """select src_ip, b.n as n, 'AS' || coalesce(b.a::varchar, '') as network, b.c as country from (select src_ip, arg_max(struct_pack(n := n, a := asn, c := geo_country), struct_pack(n := n, e := entity_id)) as b from seenfrom group by 1)""",
-    "attrhosts": "select src_ip, count(*) filter (arrival_rank = 1) as firsts, arg_min(struct_pack(asn := asn, country := country), struct_pack(t := txid, r := arrival_rank, a := coalesce(asn, -1), c := coalesce(country, ''))) as meta from sight where src_ip is not null group by 1",
-    "met": "select entity_id, txid, src_ip, arrival_rank from sight join txent using (txid) where src_ip is not null and arrival_rank is not null",
-    "pairs": "select entity_id, src_ip, sum(1.0::double / arrival_rank) as rank_weight, count(*) filter (arrival_rank = 1) as hits, min(struct_pack(t := txid, r := arrival_rank)) as first_at from met group by 1, 2",
-    "sizes": "select entity_id, count(distinct txid) as transactions from met group by 1",
-    "tested": f"select p.entity_id, p.src_ip as ip, hits, transactions, rank_weight, firsts / (select count(*) from sight where src_ip is not null and arrival_rank = 1) as baseline, meta, first_at from pairs p join sizes using (entity_id) join attrhosts using (src_ip) where hits > 0 and transactions >= {K.MIN_TRANSACTIONS} and firsts > 0",
-    "lead0": """select *, case when baseline >= 1 then 1.0 else list_sum(list_transform(range(hits, transactions + 1),
-      lambda i: exp(lgamma(transactions + 1) - lgamma(i + 1) - lgamma(transactions - i + 1) + i * ln(baseline) + (transactions - i) * ln(1 - baseline)))) end as p0 from tested""",
-    "lead": f"""select *, least(1.0, p0) as p, least(1.0, least(1.0, p0) * (select count(*) from tested)) as adj, least(1.0, least(1.0, p0) * (select count(*) from tested)) <= {K.SIGNIFICANCE} as significant from lead0""",
-    "geo": "select entity_id, country, asn from sight join txent using (txid) where arrival_rank = 1",
-}
+#: Sums of the weights 0.30 fresh, 0.40 ragged, 0.15 script and 0.35 soon, by the bits of what holds, as doubles add up.
+_SUMS = (
+    "[0.0::double, 0.3::double, 0.4::double, 0.7::double, 0.15::double, 0.44999999999999996::double, 0.55::double, 0.85::double, "
+    "0.35::double, 0.6499999999999999::double, 0.75::double, 1.05::double, 0.5::double, 0.7999999999999999::double, 0.9::double, 1.2::double]"
+)
+
+
+def _tables(K) -> dict[str, str]:
+    """The common tables under the thresholds ``K``."""
+    return {
+        "tx": "select distinct * from tx_l1 where txid is not null",
+        "l2": "select distinct * from net_l2",
+        "sight": f"select distinct txid, {_id('src_ip')} as src_ip, arrival_rank, asn, geo_country as country from net_l2",
+        "owners": f"select {_address('address')} as address, min({_id('entity_id')}) as entity_id from entities where {_address('address')} is not null and {_id('entity_id')} is not null group by 1",
+        "owned": f"select {_address('address')} as address, min({_id('entity_id')}) as entity_id, min({_id('cluster_id')}) as cluster_id from entities where {_address('address')} is not null and {_id('entity_id')} is not null group by 1",
+        "txent": f"select txid, entity_id from tx join owners on owners.address = {_address('tx.input_addresses[1]')}",
+        "scored": _latest("scores"),
+        "led": _latest("leads"),
+        "nodes1": "select * exclude _n from (select *, row_number() over (partition by id order by loaded_at nulls last, label, name nulls last, weight nulls last) as _n from graph_nodes) where _n = 1",
+        "mix0": "select txid, len(input_addresses) as n_in, len(output_amounts) as n_out, output_amounts as a from tx",
+        "mix1": "select txid, n_in, n_out, list_aggregate(list_transform(list_distinct(a), lambda v: struct_pack(n := len(list_filter(a, lambda x: x = v)), place := -list_position(a, v), value := v)), 'max') as top from mix0",
+        "flags": f"""select txid, n_in >= {K.MIN_INPUTS} and n_out >= {K.MIN_OUTPUTS} and top.n >= {K.MIN_EQUAL_OUTPUTS} as is_coinjoin,
+          case when n_in < {K.MIN_INPUTS} or n_out < {K.MIN_OUTPUTS} then 0 else top.n end as equal_count,
+          case when n_in >= {K.MIN_INPUTS} and n_out >= {K.MIN_OUTPUTS} and top.n >= {K.MIN_EQUAL_OUTPUTS} then top.value end as denomination,
+          case when n_in < {K.MIN_INPUTS} or n_out < {K.MIN_OUTPUTS} then printf('%d inputs, %d outputs: too small', n_in, n_out)
+            when top.n < {K.MIN_EQUAL_OUTPUTS} then printf('largest equal-value group is %d, need {K.MIN_EQUAL_OUTPUTS}', top.n)
+            else printf('%d outputs of %.8f BTC across %d inputs', top.n, top.value / 1e8, n_in) end as coinjoin_reason from mix1""",
+        "uses": "select unnest(input_addresses) as address, txid, ts_micro, true as spends from tx where ts_micro is not null union all select unnest(output_addresses), txid, ts_micro, false from tx where ts_micro is not null",
+        "seen": "select address, min(struct_pack(t := ts_micro, x := txid)) as seen, min(ts_micro) filter (spends) as spent_at from uses group by 1",
+        "outs2": "select txid, ts_micro, script_type, unnest([0, 1]) as place, unnest(output_addresses) as address, unnest(output_amounts) as amount from tx where len(output_addresses) = 2 and ts_micro is not null",
+        "scored2": f"""select o.txid, place, o.address, amount % {K.ROUND_UNIT} <> 0 as ragged, {_SUMS}[1
+            + if(seen.t = ts_micro and seen.x = o.txid, 1, 0) + if(amount % 100000 <> 0, 2, 0)
+            + if(coalesce((case {' '.join(f"when starts_with(o.address, '{p}') then '{s}'" for p, s in K.SCRIPT_PREFIXES)} else '{K.UNKNOWN_SCRIPT}' end) = script_type, false), 4, 0)
+            + if(coalesce(spent_at - ts_micro between 0 and {K.SPENT_SOON_MICROS}, false), 8, 0)] as score
+          from outs2 o join seen on seen.address = o.address""",
+        "pair2": "select a.txid, abs(a.score - b.score) as margin, if(a.score >= b.score, 0, 1) as best, a.address as a0, b.address as a1, a.ragged as r0, b.ragged as r1 from scored2 a join scored2 b on a.txid = b.txid and a.place = 0 and b.place = 1",
+        "guess": f"""select tx.txid, case when margin >= {K.MIN_MARGIN} then best end::bigint as change_index, case when margin >= {K.MIN_MARGIN} then if(best = 0, a0, a1) end as change_address,
+          coalesce(margin, 0.0)::double as change_confidence, coalesce(if(best = 0, r0, r1), false) as change_corroborated from tx left join pair2 using (txid)""",
+        "vertices": "select distinct address from (select unnest(input_addresses) as address from tx union all select unnest(output_addresses) from tx)",
+        "links": "select distinct input_addresses[1] as x, unnest(input_addresses) as y from tx join flags using (txid) where not is_coinjoin",
+        "tied": "select x, y from links union select y, x from links union select address, address from vertices",
+        "cosp": "select x, y from tied union select cosp.x, tied.y from cosp join tied on cosp.y = tied.x",
+        "groups": 'select x as address, min(y) as "group" from cosp group by 1',
+        "peel": "select txid, ts_micro, output_addresses as oa, output_amounts as am, list_sum(output_amounts) as total from tx where n_inputs = 1 and n_outputs = 2",
+        "spender": "select address, min(struct_pack(t := ts_micro, x := txid)).x as next_txid from uses where spends group by 1",
+        "peelout": "select txid, total, unnest(oa) as address, unnest(am) as amount from peel",
+        "best": "select o.txid, o.total, max(struct_pack(m := amount, a := o.address, n := next_txid)) as b from peelout o join spender using (address) where next_txid in (select txid from peel) group by 1, 2",
+        "succ": f"select txid, b.a as carried_address, b.n as next_txid from best where total > 0 and b.m / total >= {K.MIN_CARRY_SHARE}",
+        "walk": """select txid as start, 0 as hop, txid, [txid] as path from succ where txid not in (select next_txid from succ)
+          union all select start, hop + 1, next_txid, list_append(path, next_txid) from walk join succ using (txid) where not list_contains(path, next_txid)""",
+        "hopcount": f"select start, count(*) as hops from walk group by 1 having count(*) >= {K.MIN_CHAIN_LENGTH}",
+        "hopped": "select w.start, w.hop, w.txid, h.hops, list_sum(t.output_amounts) as total, list_min(t.output_amounts) as peel, s.carried_address from walk w join hopcount h using (start) join tx t using (txid) left join succ s using (txid)",
+        "priced": "select start, sum(peel) as peeled, list_sort(list(peel / total) filter (total > 0)) as shares from hopped group by 1",
+        "chain0": f"""select 'CH-' || h.start[1:10] as chain_id, h.start, h.hop::bigint as hop, h.txid, case when h.hop < h.hops - 1 then h.carried_address end as carried_address, h.hops,
+          p.peeled::bigint as peeled_sats, coalesce(shares[len(shares) // 2 + 1], 0.0) as median_peel, case when len(shares) < 2 then 1.0 else list_max(shares) - list_min(shares) end as peel_spread
+          from hopped h join priced p using (start)""",
+        "chain1": f"select *, hops >= {K.LAUNDERING_MIN_HOPS} and median_peel <= {K.LAUNDERING_MAX_MEDIAN_PEEL} and peel_spread <= {K.LAUNDERING_MAX_SPREAD} as laundering_like from chain0",
+        "chain": "select c.*, e.entity_id from chain1 c left join (select start, carried_address from chain1 where hop = 0) f using (start) left join owners e on e.address = f.carried_address",
+        "heads": "select * from chain where hop = 0",
+        "flow": """select source, target, sum(amount)::bigint as amount, count(*) as observations from (select e.entity_id as source, unnest(output_addresses) as address, unnest(output_amounts) as amount from tx join txent e using (txid)) f
+          join (select address, entity_id as target from owners) o using (address) where source <> target group by 1, 2""",
+        "seenfrom": "select entity_id, src_ip, min(asn) as asn, min(country) as geo_country, count(*) as n from sight join txent using (txid) where arrival_rank = 1 and src_ip is not null group by 1, 2",
+        "hosts": """select src_ip, b.n as n, 'AS' || coalesce(b.a::varchar, '') as network, b.c as country from (select src_ip, arg_max(struct_pack(n := n, a := asn, c := geo_country), struct_pack(n := n, e := entity_id)) as b from seenfrom group by 1)""",
+        "attrhosts": "select src_ip, count(*) filter (arrival_rank = 1) as firsts, arg_min(struct_pack(asn := asn, country := country), struct_pack(t := txid, r := arrival_rank, a := coalesce(asn, -1), c := coalesce(country, ''))) as meta from sight where src_ip is not null group by 1",
+        "met": "select entity_id, txid, src_ip, arrival_rank from sight join txent using (txid) where src_ip is not null and arrival_rank is not null",
+        "pairs": "select entity_id, src_ip, sum(1.0::double / arrival_rank) as rank_weight, count(*) filter (arrival_rank = 1) as hits, min(struct_pack(t := txid, r := arrival_rank)) as first_at from met group by 1, 2",
+        "sizes": "select entity_id, count(distinct txid) as transactions from met group by 1",
+        "tested": f"select p.entity_id, p.src_ip as ip, hits, transactions, rank_weight, firsts / (select count(*) from sight where src_ip is not null and arrival_rank = 1) as baseline, meta, first_at from pairs p join sizes using (entity_id) join attrhosts using (src_ip) where hits > 0 and transactions >= {K.MIN_TRANSACTIONS} and firsts > 0",
+        "lead0": """select *, case when baseline >= 1 then 1.0 else list_sum(list_transform(range(hits, transactions + 1),
+          lambda i: exp(lgamma(transactions + 1) - lgamma(i + 1) - lgamma(transactions - i + 1) + i * ln(baseline) + (transactions - i) * ln(1 - baseline)))) end as p0 from tested""",
+        "lead": f"""select *, least(1.0, p0) as p, least(1.0, least(1.0, p0) * (select count(*) from tested)) as adj, least(1.0, least(1.0, p0) * (select count(*) from tested)) <= {K.SIGNIFICANCE} as significant from lead0""",
+        "geo": "select entity_id, country, asn from sight join txent using (txid) where arrival_rank = 1",
+        "calls": f"""select t.ts_micro, t.txid, ga."group" as a, gb."group" as b, change_confidence as conf, row_number() over (order by t.ts_micro nulls last, t.txid) as turn
+          from tx t join flags using (txid) join guess using (txid) join groups ga on ga.address = t.input_addresses[1] join groups gb on gb.address = change_address
+          where not is_coinjoin and change_corroborated and change_confidence >= {K.MIN_MERGE_CONFIDENCE} and ga."group" <> gb."group\"""",
+        "ends": """select name, row_number() over (order by name) as i, (select count(*) from groups where "group" = name) as n from (select a as name from calls union select b from calls)""",
+        "coded": "select turn, x.i as i, y.i as j, conf from calls join ends x on x.name = a join ends y on y.name = b",
+        # the calls one after the other: of each group its representative, of each representative its size
+        "replay": f"""select 0 as turn, (select list(i order by i) from ends) as own, (select list(n order by i) from ends) as size
+          union all select turn + 1, if(fits, list_transform(own, lambda x: if(x = hi, lo, x)), own), if(fits, list_transform(size, lambda x, k: if(k = lo, x + size[hi], x)), size)
+          from (select r.turn, own, size, least(own[c.i], own[c.j]) as lo, greatest(own[c.i], own[c.j]) as hi, own[c.i] <> own[c.j] and (size[own[c.i]] * size[own[c.j]] <= {K.MERGE_BUDGET} or conf >= {K.MERGE_ANYWAY_CONFIDENCE}) as fits
+            from replay r join coded c on c.turn = r.turn + 1)""",
+        "merged": "select e.name, f.name as into_name from ends e, (select own from replay order by turn desc limit 1) r join ends f on f.i = r.own[e.i]",
+        "carried": """select distinct start, "group" from chain0 join groups on address = carried_address""",
+        "foldlinks": """select distinct a."group" as x, b."group" as y from carried a join carried b using (start)""",
+        "folds": "select x, y from foldlinks union select folds.x, foldlinks.y from folds join foldlinks on folds.y = foldlinks.x",
+        "folded": """select address, coalesce(f.entity, "group") as entity, "group" from groups left join (select x, min(y) as entity from folds group by 1) f on f.x = "group\"""",
+    }
+
+
+_TABLES = _tables(K)
+_LOW_TABLES = _tables(SimpleNamespace(**{**vars(K), **LOW}))
 _NAME: dict[str, str] = {}
 _USES = {
     "txent": ["tx", "owners"], "mix0": ["tx"], "mix1": ["mix0"], "flags": ["mix1"], "uses": ["tx"], "seen": ["uses"], "outs2": ["tx"], "scored2": ["outs2", "seen"], "pair2": ["scored2"], "guess": ["tx", "pair2"],
     "vertices": ["tx"], "links": ["tx", "flags"], "tied": ["links", "vertices"], "cosp": ["tied"], "groups": ["cosp"],
     "peel": ["tx"], "spender": ["uses"], "peelout": ["peel"], "best": ["peelout", "spender"], "succ": ["best"], "walk": ["succ"], "hopcount": ["walk"], "hopped": ["hopcount"], "priced": ["hopped"], "chain0": ["priced"], "chain1": ["chain0"], "chain": ["chain1", "owners"], "heads": ["chain"],
     "flow": ["txent"], "seenfrom": ["sight", "txent"], "hosts": ["seenfrom"], "attrhosts": ["sight"], "met": ["sight", "txent"], "pairs": ["met"], "sizes": ["met"], "tested": ["pairs", "sizes", "attrhosts"], "lead0": ["tested"], "lead": ["lead0"], "geo": ["sight", "txent"],
+    "calls": ["flags", "guess", "groups"], "ends": ["calls"], "coded": ["ends"], "replay": ["coded"], "merged": ["replay"], "carried": ["chain0", "groups"], "foldlinks": ["carried"], "folds": ["foldlinks"], "folded": ["folds"],
 }
-_RECURSIVE = {"cosp", "walk"}
+_RECURSIVE = {"cosp", "walk", "replay", "folds"}
 
 _RANKED = f"row_number() over (partition by txid order by ts_micro nulls last, {_nulls_last(_ORDER)})"
 _BUSIEST = "(select entity_id from owned group by 1 order by count(*) desc, entity_id limit 1)"
@@ -118,6 +149,10 @@ _WAYS = f"select {_id('source')} as a, {_id('target')} as b from graph_edges uni
 _LED_SCORES = "led l join (select entity_id, risk_score from scored) s using (entity_id)"
 _HIGH = K.RISK_BANDS[1][0]
 
+_ALERTS = """select s.entity_id, s.risk_score, s.is_anomaly, s.factors, l.ip, l.country, l.asn, l.hits, l.transactions, l.confidence as attribution_confidence, l.significant as attribution_significant, l.n_countries,
+      coalesce(c.hops, 0) as chain_hops, coalesce(c.ll, false) as laundering_like, o.n as n_addresses
+      from scored s left join led l using (entity_id) left join (select entity_id, max(hops) as hops, bool_or(laundering_like) as ll from heads group by 1) c using (entity_id) left join (select entity_id, count(*) as n from owned group by 1) o using (entity_id)"""
+
 _FEATURE_SQL = (
     _with("tx", "owners", "flags", "heads")
     + f""", spend as (select o.entity_id, tx.* from tx join owners o on o.address = tx.input_addresses[1]),
@@ -194,10 +229,7 @@ SQL: dict[str, str] = {
       per_score as (select s, count(*) as n, sum(y) as pos from k group by 1), st as (select *, sum(pos) over (order by s desc) / sum(n) over (order by s desc) as prec from per_score),
       t as (select sum(n) as n, sum(pos) as pos, sum(n) filter (s >= 0.5) as fl, sum(pos) filter (s >= 0.5) as hit, sum(prec * pos) as area from st)
       select n::bigint as n, round(pos / n, 9) as prevalence, round(coalesce(hit / nullif(fl, 0), 0), 9) as precision, round(coalesce(hit / nullif(pos, 0), 0), 9) as recall, round(coalesce(2 * (hit / fl) * (hit / pos) / nullif(hit / fl + hit / pos, 0), 0), 9) as f1, round(coalesce(area / nullif(pos, 0), 0), 9) as average_precision from t""",
-    "alerts": _with("scored", "led", "owned", "heads")
-    + """select s.entity_id, s.risk_score, s.is_anomaly, s.factors, l.ip, l.country, l.asn, l.hits, l.transactions, l.confidence as attribution_confidence, l.significant as attribution_significant, l.n_countries,
-      coalesce(c.hops, 0) as chain_hops, coalesce(c.ll, false) as laundering_like, o.n as n_addresses
-      from scored s left join led l using (entity_id) left join (select entity_id, max(hops) as hops, bool_or(laundering_like) as ll from heads group by 1) c using (entity_id) left join (select entity_id, count(*) as n from owned group by 1) o using (entity_id)""",
+    "alerts": _with("scored", "led", "owned", "heads") + _ALERTS,
     "alerts_filtered": _with("scored", "led", "owned")
     + f"""select s.entity_id, s.risk_score, l.ip, o.n as n_addresses from scored s join led l using (entity_id) left join (select entity_id, count(*) as n from owned group by 1) o using (entity_id)
       where l.significant and s.risk_score >= 0.25 and {_BAND} in ('High', 'Critical')""",
@@ -257,3 +289,20 @@ SQL |= {
       union all select 'Models', 'scores', format('{:,} entities scored, {:,} flagged as anomalous', (select count(*) from scored), (select count(*) from scored where is_anomaly))""",
 }
 SQL["hourly_long"] = f"with h as ({SQL['hourly_activity']}) select hour, 'high_risk' as kind, high_risk as n from h union all select hour, 'other', other from h"
+SQL |= {
+    "budgeted_clusters": _with("merged") + """select address, coalesce(into_name, "group") as "group" from groups left join merged on name = "group\"""",
+    "folded_entities": _with("folded") + "select * from folded",
+    "folded_entities_low": _with("folded", low=True) + "select * from folded",
+    "coinjoin_flags_low": _with("flags", low=True) + "select * from flags",
+    "coinjoins_low": _with("flags", "tx", low=True) + "select txid, coinjoin_reason, n_inputs, n_outputs, total_out from flags join tx using (txid) where is_coinjoin",
+    "peel_chains_low": _with("chain", low=True) + "select * from chain",
+    "chain_steps_low": _with("chain1", low=True) + "select start, txid, next_txid from (select start, txid, lead(txid) over (partition by start order by hop) as next_txid from chain1) where next_txid is not null",
+    "best_leads_low": _with("lead", low=True) + "select entity_id, ip, hits, transactions, significant from (select *, row_number() over (partition by entity_id order by adj, first_at.t, first_at.r, ip) as r from lead) where r = 1",
+    "alerts_low": _with("scored", "led", "owned", "heads", low=True) + _ALERTS,
+    "alerts_laundering_low": _with("scored", "heads", low=True) + "select s.entity_id, s.risk_score, max(hops) as chain_hops, bool_or(laundering_like) as laundering_like from scored s join heads h on h.entity_id = s.entity_id group by 1, 2 having bool_or(laundering_like)",
+    "entity_chains_low": _with("heads", low=True)
+    + "select chain_id, hops, peeled_sats as peeled, median_peel, laundering_like from heads where entity_id = (select entity_id from heads where entity_id is not null order by hops desc, start limit 1)",
+    "chain_list_low": _with("heads", "scored", low=True) + "select chain_id, h.entity_id, hops, peeled_sats as peeled, median_peel, peel_spread, laundering_like, risk_score as risk from heads h left join scored s on s.entity_id = h.entity_id",
+    "chain_hops_low": _with("chain", "tx", low=True)
+    + "select hop, txid, carried_address, total_out, fee, ts_micro from chain left join tx using (txid) where chain_id = (select chain_id from chain where hop = 0 order by laundering_like desc, hops desc, start limit 1)",
+}

@@ -170,19 +170,16 @@ class Store:
         """(stage, tables, summary): what each stage produced."""
         n = lambda c: F.format_number(c, 0)
 
-        def line(df: DataFrame, stage: str, tables: str, text: str, *values: Column) -> DataFrame:
-            return df.agg(F.format_string(text, *map(n, values)).alias("summary")).select(F.lit(stage).alias("stage"), F.lit(tables).alias("tables"), "summary")
-
-        both = side_by_side([self.tx.agg(F.count("*").alias("a")), self.l2.agg(F.count("*").alias("b"))])
-        clusters = side_by_side([self.owners.agg(F.count_distinct("cluster_id").alias("a")), self.flags.agg(F.count_if("is_coinjoin").alias("b"))])
-        graph = side_by_side([self.owners.agg(F.count_distinct("entity_id").alias("a")), self._chain_heads().agg(F.count("*").alias("b"))])
-        return (
-            line(both, "Ingest", "tx_l1 + net_l2", "%s transactions, %s network sightings", F.max("a"), F.max("b"))
-            .unionByName(line(clusters, "Clustering", "clusters + tx_flags", "%s clusters, %s CoinJoins filtered", F.max("a"), F.max("b")))
-            .unionByName(line(graph, "Graph", "entities + chains", "%s entities, %s chains recovered", F.max("a"), F.max("b")))
-            .unionByName(line(self.leads, "Fusion", "leads", "%s significant attributions of %s scored", F.count_if("significant"), F.count("*")))
-            .unionByName(line(self.scores, "Models", "scores", "%s entities scored, %s flagged as anomalous", F.count("*"), F.count_if("is_anomaly")))
-        )
+        heads = self._chain_heads()
+        pairs = [
+            (side_by_side([self.tx.agg(F.count("*").alias("a")), self.l2.agg(F.count("*").alias("b"))]), F.max("a"), F.max("b")),
+            (side_by_side([self.owners.agg(F.count_distinct("cluster_id").alias("a")), self.flags.agg(F.count_if("is_coinjoin").alias("b"))]), F.max("a"), F.max("b")),
+            (side_by_side([self.owners.agg(F.count_distinct("entity_id").alias("a")), heads.agg(F.count("*").alias("b"))]), F.max("a"), F.max("b")),
+            (self.leads, F.count_if("significant"), F.count("*")),
+            (self.scores, F.count("*"), F.count_if("is_anomaly")),
+        ]
+        lines = (df.agg(F.format_string(text, n(a), n(b)).alias("summary")).select(F.lit(stage).alias("stage"), F.lit(tables).alias("tables"), "summary") for (df, a, b), (stage, tables, text) in zip(pairs, K.STAGE_REPORT))
+        return reduce(DataFrame.unionByName, lines)
 
     def attributed(self) -> DataFrame:
         """Significant leads, and whether the entity's traffic rotates between countries."""
