@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -22,22 +22,25 @@ def extract(tx: DataFrame, owners: DataFrame, flags: DataFrame, chains: DataFram
     day, hour = F.date_trunc("day", at), F.hour(at)
     base = spend.groupBy("entity_id").agg(
         F.count("*").alias("n_transactions"),
-        F.count_distinct(day).alias("active_days"),
         F.sum("total_out").alias("total_out"),
         F.avg("total_out").alias("mean_value"),
-        F.median("total_out").alias("median_value"),
         F.stddev_pop("total_out").alias("value_spread"),
         F.avg("fee").alias("mean_fee"),
         F.stddev_pop("fee").alias("fee_spread"),
         F.avg("n_inputs").alias("mean_inputs"),
         F.avg("n_outputs").alias("mean_outputs"),
         F.max("n_inputs").alias("max_inputs"),
-        F.count_distinct("script_type").alias("n_script_types"),
         F.avg(hour).alias("mean_hour"),
         (F.sum(F.when(hour < 6, 1).otherwise(0)).cast("double") / F.count("*")).alias("nocturnal_share"),
-        (F.count_distinct(hour) / 24.0).alias("hour_coverage"),
+        # the hours there are, as the bits of a number
+        (F.bit_count(F.bit_or(F.expr("shiftleft(1, hour(timestamp_micros(ts_micro)))"))) / 24.0).alias("hour_coverage"),
     )
-    base = base.where(F.col("n_transactions") >= min_transactions).withColumn("tx_per_active_day", F.col("n_transactions") / F.nullif("active_days", F.lit(0)))
+    # values of an entity are made distinct where they lie, not by repeating every row for each kind of them
+    distinct = lambda c, name: spend.select("entity_id", c.alias("x")).where("x is not null").distinct().groupBy("entity_id").agg(F.count("*").alias(name))
+    base = base.where(F.col("n_transactions") >= min_transactions)
+    for side in (distinct(day, "active_days"), distinct(F.col("script_type"), "n_script_types"), medians(spend, "entity_id", "total_out").withColumnRenamed("median", "median_value")):
+        base = base.join(side, "entity_id", "left")
+    base = base.withColumn("tx_per_active_day", F.col("n_transactions") / F.nullif("active_days", F.lit(0)))
     # outputs are counted per payer and address before they meet their owners
     paid = spend.select("entity_id", F.explode("output_addresses").alias("address")).groupBy("entity_id", "address").agg(F.count("*").alias("n"))
     flow = paid.join(owners.select("address", F.col("entity_id").alias("payee")), "address").where("payee <> entity_id").groupBy("entity_id", "payee").agg(F.sum("n").alias("n"))
@@ -56,6 +59,21 @@ def extract(tx: DataFrame, owners: DataFrame, flags: DataFrame, chains: DataFram
     return out.select("entity_id", *(F.coalesce(F.col(f).cast("double"), F.lit(default.get(f, 0.0))).alias(f) for f in K.FEATURES))
 
 
+def medians(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, median) of the non-null values, the mean of the middle two where their number is even.
+
+    Equal values are counted first, and the middle is found by a running sum over the counts in order of value, so no
+    group's values are held at once.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    totals = counts.groupBy(group).agg(F.sum("c").alias("n"))
+    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    low, high = F.expr("(n + 1) div 2"), F.expr("(n + 2) div 2")
+    holds = lambda k: (F.col("upto") >= k) & (F.col("upto") - F.col("c") < k)
+    middle = upto.join(totals, group).select(group, F.when(holds(low), F.col("v")).alias("a"), F.when(holds(high), F.col("v")).alias("b")).where("a is not null or b is not null")
+    return middle.groupBy(group).agg(((F.max("a").cast("double") + F.max("b").cast("double")) / 2).alias("median"))
+
+
 def group_of(feature: str) -> str:
     """The group a feature belongs to."""
     return next(g for g, names in K.FEATURE_GROUPS.items() if feature in names)

@@ -55,14 +55,22 @@ def build(tx: DataFrame, l2: DataFrame, owners: DataFrame) -> tuple[DataFrame, D
     return nodes, edges.select(ident.alias("id"), "label", "source", "target", "amount", "observations")
 
 
+#: Nodes of a fringe that are broadcast at most.
+BROADCAST_FRINGE = 200_000
+
+
 def reach(edges: DataFrame, focus: DataFrame, hops: int) -> DataFrame:
-    """(id, depth): nodes within ``hops`` undirected edges of those of ``focus`` (column id), and the least depth."""
-    both = edges.select(F.col("source").alias("id"), F.col("target").alias("to")).union(edges.select("target", "source")).where("id is not null and to is not null")
-    both = materialize(both.distinct(), "both-ways")
+    """(id, depth): nodes within ``hops`` undirected edges of those of ``focus`` (column id), and the least depth.
+
+    Each hop filters the edges by the fringe, in both directions; the edge table is neither doubled nor written.
+    """
     found = focus.select("id", F.lit(0).alias("depth")).distinct()
     fringe = found
     for depth in range(1, hops + 1):
-        further = both.join(fringe.select("id"), "id", "left_semi").select(F.col("to").alias("id")).distinct().join(found.select("id"), "id", "left_anti")
+        ids = fringe.select("id")
+        ids = F.broadcast(ids) if depth == 1 or fringe.count() <= BROADCAST_FRINGE else ids
+        ways = (edges.select(F.col(a).alias("id"), F.col(b).alias("to")).join(ids, "id", "left_semi").select(F.col("to").alias("id")) for a, b in (("source", "target"), ("target", "source")))
+        further = reduce(DataFrame.union, ways).where("id is not null").distinct().join(found.select("id"), "id", "left_anti")
         fringe = materialize(further.select("id", F.lit(depth).alias("depth")), "fringe")
         found = found.unionByName(fringe)
     return found

@@ -1,7 +1,16 @@
-"""All stages in order, from evidence to scores, each written to the store before the next reads it."""
+"""All stages in order, from evidence to scores, each written to the store before the next reads it.
+
+    python -m ledgerloom.pipeline STORE EVIDENCE... [--databases FOLDER] [--truth FILE]
+"""
 
 from __future__ import annotations
 
+import argparse
+import threading
+import time
+import traceback
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -14,6 +23,50 @@ from .serve import Store
 from .sources.ingest import ingest, write_table
 
 
+#: Seconds after which a stage is given up.
+TIMEOUT = 900.0
+
+
+@dataclass
+class Outcome:
+    """How a stage ended: its name, whether it succeeded, the seconds it took and the end of what went wrong."""
+
+    stage: str
+    ok: bool
+    seconds: float
+    error: str = ""
+
+
+def run_stages(spark: SparkSession, stages: list[tuple[str, Callable[[], object]]], timeout: float = TIMEOUT) -> list[Outcome]:
+    """Run stages one after the other and stop at the first that fails; one that takes longer than ``timeout`` has its jobs cancelled."""
+    outcomes = []
+    for name, stage in stages:
+        began, late, tag = time.monotonic(), threading.Event(), f"stage-{uuid.uuid4().hex}"
+
+        def give_up(late: threading.Event = late, tag: str = tag) -> None:
+            late.set()
+            while not over.wait(0.5):  # jobs that start later are cancelled as well
+                spark.sparkContext.cancelJobsWithTag(tag)
+
+        over, clock = threading.Event(), threading.Timer(timeout, give_up)
+        clock.daemon = True
+        spark.sparkContext.addJobTag(tag)
+        clock.start()
+        try:
+            stage()
+            error = f"timed out after {timeout:g} s" if late.is_set() else ""
+        except Exception:
+            error = f"timed out after {timeout:g} s" if late.is_set() else traceback.format_exc()[-4000:]
+        finally:
+            over.set()
+            clock.cancel()
+            spark.sparkContext.removeJobTag(tag)
+        outcomes.append(Outcome(name, not error, time.monotonic() - began, error))
+        if error:
+            break
+    return outcomes
+
+
 @dataclass
 class Pipeline:
     """The store in folder ``out``.  Options: no mixing filter, no change merges, least chain length and transactions."""
@@ -81,3 +134,34 @@ class Pipeline:
 
     def store(self) -> Store:
         return Store(self.read("tx_l1"), self.read("net_l2"), self.read("entities"), self.read("chains"), self.read("tx_flags"), self.read("leads"), self.read("scores"), self.read("graph_nodes"), self.read("graph_edges"))
+
+    def run(self, paths: list[str], geo_ranges: DataFrame | None = None, labels: Callable[[DataFrame], DataFrame] | None = None, timeout: float = TIMEOUT) -> list[Outcome]:
+        """All stages; ``labels`` makes (entity_id, label) of the entities, without it the models are left out."""
+        stages = [("ingest", lambda: self.ingest(paths, geo_ranges)), ("cluster", self.cluster), ("graph", self.graph), ("fusion", self.fusion)]
+        if labels is not None:
+            stages.append(("detect", lambda: self.detect(labels(self.read("entities")))))
+        return run_stages(self.spark, stages, timeout)
+
+
+def main(arguments: list[str] | None = None) -> int:
+    from .session import get_session
+    from .sources import mmdb, truth
+
+    parser = argparse.ArgumentParser(description="Evidence to scored entities, stage by stage.")
+    parser.add_argument("store")
+    parser.add_argument("evidence", nargs="+")
+    parser.add_argument("--databases", help="folder of .mmdb files")
+    parser.add_argument("--truth", help="truth file with labels for the models")
+    parser.add_argument("--timeout", type=float, default=TIMEOUT)
+    asked = parser.parse_args(arguments)
+    spark = get_session("pipeline")
+    ranges = mmdb.read_folder(spark, asked.databases) if asked.databases else None
+    labels = (lambda entities: truth.labels(entities, truth.owners(spark, asked.truth))) if asked.truth else None
+    outcomes = Pipeline(spark, asked.store).run(asked.evidence, ranges, labels, asked.timeout)
+    for o in outcomes:
+        print(f"{o.stage:8} {'done' if o.ok else 'failed'} {o.seconds:8.1f} s {o.error}")
+    return 0 if all(o.ok for o in outcomes) else 1
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -29,6 +29,10 @@ RANGES = [
     ("10.1.200.0/24", "XX", None, None),
     ("192.0.2.0/24", "WW", 64602, "Example Doc"),
     ("198.18.0.0/15", "VV", 64603, "Example Bench"),
+    ("2001:db8::/32", "UU", None, None),
+    ("2001:db8:1::/48", None, 64604, "Example Six"),
+    ("2001:db8:1:70::/60", "TT", 64605, "Example Narrow"),
+    ("fd00::/8", "SS", 64606, "Example Local"),
 ]
 
 

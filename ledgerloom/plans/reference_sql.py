@@ -266,10 +266,13 @@ SQL |= {
     + """select entity_id, f.name as name, f."group" as "group", f.contribution as contribution from (select entity_id, unnest(from_json(nullif(factors, ''), '[{"name": "VARCHAR", "group": "VARCHAR", "contribution": "DOUBLE"}]')) as f from scored where factors is not null)""",
     "geo_enrich": _with("l2")
     + f""", known as (select *, split_part(cidr, '/', 2)::int as bits from (values {', '.join("(" + ', '.join('null' if x is None else repr(x) for x in r) + ")" for r in RANGES)}) t(cidr, country, asn, asn_org)),
-      host as (select distinct src_ip, list_transform(string_split(src_ip, '.'), lambda x: x::bigint) as o from l2 where regexp_full_match(src_ip, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+')),
-      num as (select src_ip, o[1] * 16777216 + o[2] * 65536 + o[3] * 256 + o[4] as n from host),
-      net as (select *, list_transform(string_split(split_part(cidr, '/', 1), '.'), lambda x: x::bigint) as o from known),
-      met as (select src_ip, bits, country, asn, asn_org from num join (select bits, country, asn, asn_org, o[1] * 16777216 + o[2] * 65536 + o[3] * 256 + o[4] as base from net) r on n // (1::bigint << (32 - bits)) = base // (1::bigint << (32 - bits))),
+      place as (select x, case when regexp_full_match(x, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') then list_reduce(list_transform(string_split(x, '.'), lambda o: printf('%08b', o::int)), lambda a, b: a || b)
+        when regexp_full_match(x, '[0-9A-Fa-f:]*:[0-9A-Fa-f:]*') then 'v6' || list_reduce(list_transform(string_split(l.g || ':' || repeat('0:', 8 - l.n - r.n) || r.g, ':').list_filter(lambda o: o <> ''), lambda o: printf('%016b', ('0x' || o)::int)), lambda a, b: a || b) end as bin
+        from (select distinct src_ip as x from l2 union select split_part(cidr, '/', 1) from known),
+        lateral (select split_part(x, '::', 1) as g, len(list_filter(string_split(split_part(x, '::', 1), ':'), lambda o: o <> '')) as n) l,
+        lateral (select split_part(x, '::', 2) as g, len(list_filter(string_split(split_part(x, '::', 2), ':'), lambda o: o <> '')) as n) r),
+      net as (select bits, country, asn, asn_org, left(bin, bits + if(bin[1] = 'v', 2, 0)) as head from known join place on x = split_part(cidr, '/', 1)),
+      met as (select x as src_ip, bits, country, asn, asn_org from place join net on starts_with(bin, head)),
       hit as (select src_ip, arg_max(country, bits) filter (country is not null) as c, arg_max(asn, bits) filter (asn is not null) as a, arg_max(asn_org, bits) filter (asn is not null) as g from met group by 1)
       select txid, src_ip, arrival_rank, ts_micro, coalesce(c, geo_country) as geo_country, coalesce(a, asn)::bigint as asn, case when a is not null then coalesce(g, '') else '' end as asn_org,
         if(c is not null, 'db', 'record') as country_source, if(a is not null, 'db', 'record') as asn_source from l2 left join hit using (src_ip)""",

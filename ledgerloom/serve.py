@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from . import constants as K
 from .keys import clean_id
 from .operators import graph as G
+from .sources import files
 
 FACTORS = "array<struct<name:string,`group`:string,contribution:double>>"
 
@@ -191,8 +191,7 @@ def catalog(spark: SparkSession, folder: str, names: list[str]) -> list[str]:
     found = []
     for name in names:
         path = f"{folder}/{name}.parquet"
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        if files.exists(spark, path):
             spark.read.parquet(path).createOrReplaceTempView(name)
             found.append(name)
     return found
@@ -200,4 +199,4 @@ def catalog(spark: SparkSession, folder: str, names: list[str]) -> list[str]:
 
 def custody(spark: SparkSession, manifest: str) -> DataFrame | None:
     """The manifest of an ingest as one row, None where there is none."""
-    return spark.read.json(manifest, multiLine=True) if Path(manifest).exists() else None
+    return spark.read.json(manifest, multiLine=True) if files.exists(spark, manifest) else None

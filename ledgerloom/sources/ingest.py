@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import os
 import time
 from dataclasses import dataclass
 
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import observations as O
 from ..shared import materialize
+from . import files
 from .evidence import read_evidence, validated
 from .geo import enrich
 
@@ -34,27 +33,6 @@ def write_table(df: DataFrame, path: str, by: str | None = None, order: list[str
         raise OSError(f"could not rename {beside}")
 
 
-def source_hashes(spark: SparkSession, paths: list[str], piece: int = 1 << 20) -> list[dict]:
-    """path, bytes and SHA-256 of each source, read in pieces on the executors."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            out = []
-            for p in b["path"].to_pylist():
-                digest, size = hashlib.sha256(), 0
-                with open(p, "rb") as f:
-                    while chunk := f.read(piece):
-                        digest.update(chunk)
-                        size += len(chunk)
-                out.append((p, size, digest.hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["path", "bytes", "sha256"])
-
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
-    return [r.asDict() for r in files.mapInArrow(run, "path string, bytes bigint, sha256 string").orderBy("path").collect()]
-
-
 @dataclass
 class Ingested:
     tx: DataFrame
@@ -86,6 +64,7 @@ def ingest(spark: SparkSession, paths: list[str], out: str, geo_ranges: DataFram
     write_table(l2, f"{out}/net_l2.parquet", "txid", ["txid", "ts_micro"])
     tx, l2 = spark.read.parquet(f"{out}/tx_l1.parquet"), spark.read.parquet(f"{out}/net_l2.parquet")
     from_db = O.provenance_counts(l2).first()
+    # The manifest's keys
     record = {
         "ingested_at_unix": int(time.time()),
         "transactions": tx.count(),
@@ -95,11 +74,8 @@ def ingest(spark: SparkSession, paths: list[str], out: str, geo_ranges: DataFram
         "geoip_database_present": geo_ranges is not None,
         "geo_from_database": from_db["geo_from_database"],
         "geo_from_record": from_db["geo_from_record"],
-        "sources": source_hashes(spark, paths),
+        "sources": files.hashes(spark, paths),
     }
     if manifest:
-        os.makedirs(os.path.dirname(manifest) or ".", exist_ok=True)
-        with open(manifest, "w") as f:
-            json.dump(record, f, indent=2)
-            f.write("\n")
+        files.write_text(spark, manifest, json.dumps(record, indent=2) + "\n")
     return Ingested(tx, l2, record, failed)

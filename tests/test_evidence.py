@@ -5,7 +5,8 @@ import pytest
 from ledgerloom.operators import observations as O
 from ledgerloom.sources import evidence as E
 from ledgerloom.sources import generator as G
-from ledgerloom.sources.ingest import ingest, source_hashes
+from ledgerloom.sources.files import hashes
+from ledgerloom.sources.ingest import ingest
 from tests.conftest import rows
 
 RECORD = dict(zip(E.FIELDS, ["2026-08-01T00:00:00.000481Z", "203.0.113.44", 41234, "192.0.2.1", 8333, "ab", ["bc1qa", "bc1qb"], ["1c"], ["0.1", ".5"], ["0.59"], "0.00002500", "p2pkh", "IN", 64512]))
@@ -92,7 +93,7 @@ def test_ingest(spark, written, tmp_path):
     import hashlib
 
     assert [s["sha256"] for s in m["sources"]] == [hashlib.sha256((written / f"a.{n}").read_bytes()).hexdigest() for n in ("csv", "json", "xml")]
-    assert source_hashes(spark, paths[:1])[0]["bytes"] == (written / "a.json").stat().st_size
+    assert hashes(spark, paths[:1])[0]["bytes"] == (written / "a.json").stat().st_size
     row = done.l2.first()
     assert (row["geo_country"], row["asn"], row["asn_org"], row["country_source"], row["asn_source"], row["arrival_rank"]) == ("XX", 7, "Org", "db", "db", 1)
     assert done.tx.orderBy("txid").first()["total_out"] == 59_000_000

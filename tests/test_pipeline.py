@@ -132,3 +132,43 @@ def test_sql_over_generated_data(spark, as_tables, name):
     assert got
     for flag in OVER_GENERATED[name]:
         assert {True, False} <= {r[flag] for r in got}
+
+
+def test_stages_stop_at_the_first_failure(spark):
+    from ledgerloom.pipeline import run_stages
+
+    ran = []
+    outcomes = run_stages(spark, [("one", lambda: ran.append(1)), ("two", lambda: 1 / 0), ("three", lambda: ran.append(3))])
+    assert ran == [1]
+    assert [(o.stage, o.ok) for o in outcomes] == [("one", True), ("two", False)]
+    assert "ZeroDivisionError" in outcomes[1].error and all(o.seconds >= 0 for o in outcomes)
+
+
+def test_a_stage_that_takes_too_long_is_given_up(spark):
+    from pyspark.sql.types import LongType
+
+    from ledgerloom.pipeline import run_stages
+
+    @F.udf(LongType())
+    def slow(x):
+        import time
+
+        time.sleep(60)
+        return x
+
+    [outcome] = run_stages(spark, [("slow", lambda: spark.range(2).select(slow("id")).collect())], timeout=1.5)
+    assert not outcome.ok and outcome.error.startswith("timed out") and outcome.seconds < 30
+
+
+def test_run_from_evidence_to_leads(spark, tmp_path):
+    from ledgerloom.serve import custody
+
+    world = G.World(volume=40, days=2, seed=3).run()
+    G.write_json(world.records(), str(tmp_path / "a.json"))
+    p = Pipeline(spark, str(tmp_path / "store"))
+    outcomes = p.run([str(tmp_path / "a.json")])
+    assert [(o.stage, o.ok, o.error) for o in outcomes] == [(s, True, "") for s in ("ingest", "cluster", "graph", "fusion")]
+    kept = custody(spark, str(tmp_path / "store" / "manifest.json")).first()
+    assert kept["transactions"] == len(world.txs) and kept["sources"][0]["bytes"] == (tmp_path / "a.json").stat().st_size
+    assert custody(spark, str(tmp_path / "none.json")) is None
+    assert Pipeline(spark, str(tmp_path / "other")).run([str(tmp_path / "missing.json")])[-1].stage == "ingest"
