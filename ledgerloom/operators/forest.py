@@ -1,7 +1,7 @@
 """Risk models: a balanced random forest, an isolation forest and the contributions behind a score.
 
-Features come as one row per entity (``features.extract``), labels as 0 or 1.  The forest is Spark ML's; isolation
-trees are grown on samples of a fixed size, broadcast (their size does not grow with the rows) and scored by
+Features come as one row per entity (``features.extract``), labels as 0 or 1.  The forest is grown by ``trees``, by Spark ML
+where its rows are too many to be broadcast as codes; isolation trees are grown on samples of a fixed size, broadcast (their size does not grow with the rows) and scored by
 Arrow batches; contributions are worked out over the forest's exported nodes in the same way.
 """
 
@@ -19,11 +19,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .. import constants as K
 from ..shared import materialize, shared_dir
 from ..skew import dealt
 from . import evaluation
+from . import trees as T
 from .features import group_of
 
 
@@ -41,14 +43,32 @@ def assembled(rows: DataFrame, names: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(rows)
 
 
-def fit(rows: DataFrame, names: list[str] = K.FEATURES, trees: int = K.FOREST_TREES, seed: int = K.SEED) -> RandomForestClassificationModel:
-    """A forest on rows with the features ``names`` and a 0/1 label."""
+def fit(rows: DataFrame, names: list[str] = K.FEATURES, trees: int = K.FOREST_TREES, seed: int = K.SEED) -> T.Forest | RandomForestClassificationModel:
+    """A forest on rows with the features ``names`` and a 0/1 label; without a labelled row it scores 0."""
+    table = rows.where("label is not null").select(T.values(names), F.col("label").cast("int").alias("label"))
+    classes, bounds = T.survey(table, len(names))
+    if classes.sum() * len(names) <= T.MOST:
+        return T.forest(table, len(names), classes, bounds, trees, K.FOREST_DEPTH, K.FOREST_LEAF, seed)
+    return fit_ml(rows, names, trees, seed)
+
+
+def fit_ml(rows: DataFrame, names: list[str] = K.FEATURES, trees: int = K.FOREST_TREES, seed: int = K.SEED) -> RandomForestClassificationModel:
+    """The forest by Spark ML, which passes over the rows for each level of some trees."""
     classifier = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=K.FOREST_DEPTH, minInstancesPerNode=K.FOREST_LEAF, seed=seed, probabilityCol="probability")
     return classifier.fit(assembled(with_weights(rows.where("label is not null").withColumn("label", F.col("label").cast("double"))), names))
 
 
-def predict(model: RandomForestClassificationModel, rows: DataFrame, names: list[str] = K.FEATURES) -> DataFrame:
+def predict(model: T.Forest | RandomForestClassificationModel, rows: DataFrame, names: list[str] = K.FEATURES) -> DataFrame:
     """``rows`` with risk_score, the probability of label 1."""
+    if isinstance(model, T.Forest):
+        sent = rows.sparkSession.sparkContext.broadcast(model)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                kept = b.drop_columns(["x"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sent.value.scores(T.matrix(b)))], names=[*kept.schema.names, "risk_score"])
+
+        return rows.select("*", T.values(names)).mapInArrow(score, StructType([*rows.schema.fields, StructField("risk_score", DoubleType())]))
     return model.transform(assembled(rows, names)).withColumn("risk_score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
@@ -101,9 +121,9 @@ def label_null(rows: DataFrame, seeds: list[int] = K.NULL_SEEDS, trees: int = K.
     return each.agg(*(F.avg(c).cast(t).alias(c) for c, t in each.dtypes))
 
 
-def importances(model: RandomForestClassificationModel, names: list[str] = K.FEATURES) -> list[tuple[str, str, float]]:
+def importances(model: T.Forest | RandomForestClassificationModel, names: list[str] = K.FEATURES) -> list[tuple[str, str, float]]:
     """(feature, group, importance), greatest first."""
-    values = model.featureImportances.toArray()
+    values = model.importances(len(names)) if isinstance(model, T.Forest) else model.featureImportances.toArray()
     return sorted(((n, group_of(n), float(v)) for n, v in zip(names, values)), key=lambda x: (-x[2], x[0]))
 
 
@@ -200,8 +220,10 @@ class Path:
     value: float
 
 
-def export_paths(model: RandomForestClassificationModel) -> list[list[Path]]:
-    """The leaves of each tree of a forest (bounded by its trees and depth), read from the written model."""
+def export_paths(model: T.Forest | RandomForestClassificationModel) -> list[list[Path]]:
+    """The leaves of each tree of a forest (bounded by its trees and depth), one of Spark ML's read from the written model."""
+    if isinstance(model, T.Forest):
+        return [_leaves(t) for t in model.as_rows()]
     spark = SparkSession.active()
     folder = f"{shared_dir(spark)}/forest-{model.uid}"
     model.write().overwrite().save(folder)
