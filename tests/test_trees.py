@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom import constants as K
 from ledgerloom.operators import forest as R
@@ -114,3 +115,10 @@ def test_importances_and_too_many_rows(spark, monkeypatch):
     assert abs(sum(got.values()) - 1) < 1e-9 and min(got, key=got.get) == K.FEATURES[2]
     monkeypatch.setattr(T, "MOST", 10)
     assert not isinstance(R.fit(rows, NAMES, 3), T.Forest)
+
+
+def test_metrics_of_seeds_are_not_one_plan(spark):
+    rows = table(spark, 30).withColumnsRenamed(dict(zip(NAMES, K.FEATURES))).select("*", *(F.lit(0.0).alias(n) for n in K.FEATURES[3:]))
+    found = R.seed_stability(rows, [0, 1], trees=2, k=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Window", "Exchange", "Join")) and [r["n"] for r in found.collect()] == [30, 30]
